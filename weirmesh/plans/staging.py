@@ -34,6 +34,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     _written.append(path)
+    spark.sparkContext._jvm.System.gc()  # what led here is no longer needed; its shuffle files can go
     return spark.read.schema(df.schema).parquet(path)
 
 
