@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weirmesh.llm import decontaminate, langid, mixing, near_dedup, suffix_dedup
+from weirmesh.llm import decontaminate, langid, language_model, mixing, near_dedup, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    out = quality.judge(_table(spark, sf, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+def op2_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return language_model.score(docs, language_model.build(docs.filter(~language_model.held_out())))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf, "documents"))
 
