@@ -20,16 +20,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GRAM = 8
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
 
-#: name -> (bad if, good if) over the statistics; neither is an abstention.
-RULES: dict[str, tuple[str, str]] = {
-    "word_length": ("word_chars > 15 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "repeated_lines": ("5 * n_dup_lines > n_lines", "n_dup_lines = 0"),
-    "repeated_words": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    "upper_case": ("4 * n_upper > word_chars", "10 * n_upper <= word_chars"),
-    "exclamations": ("10 * n_exclaim > n_words", "100 * n_exclaim <= n_words"),
-    "vocabulary": ("6 * n_distinct < n_words", "4 * n_distinct >= n_words"),
-    "length": ("n_words < 25", "n_words >= 50"),
+#: name -> (bad if, good if, how often a vote is taken to be right at first); neither is an
+#: abstention. Most rules only know what is bad.
+RULES: dict[str, tuple[str, str, float]] = {
+    "symbols_by_word": ("5 * n_symbols > n_words", "false", 0.97),
+    "symbols_by_character": ("25 * n_symbols > word_chars", "false", 0.97),
+    "repeated_lines": ("n_dup_lines >= 3 and 3 * n_dup_lines > n_lines", "false", 0.9),
+    "repeated_words": ("100 * n_repeat_words > 25 * n_words", "false", 0.8),
+    "upper_case": ("3 * n_upper > word_chars", "false", 0.9),
+    "exclamations": ("5 * n_exclaim > n_words", "false", 0.9),
+    "word_length": ("word_chars > 15 * n_words or word_chars < 2 * n_words", "false", 0.9),
+    "vocabulary": ("5 * n_distinct < 2 * n_words and n_words < 500", "false", 0.97),
+    "length": ("n_words < 25", "n_words >= 50", 0.6),
 }
 
 
@@ -62,21 +64,22 @@ def statistics(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_upper", "n_exclaim", "n_distinct", "n_lines")
 
 
-def votes(rules: dict[str, tuple[str, str]] = RULES) -> dict[str, Column]:
+def votes(rules: dict[str, tuple[str, str, float]] = RULES) -> dict[str, Column]:
     """1 good, -1 bad, 0 abstain."""
-    return {f"vote_{k}": F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for k, (bad, good) in rules.items()}
+    return {f"vote_{k}": F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for k, (bad, good, _) in rules.items()}
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100) -> tuple[float, list[float]]:
-    """Share of good documents and accuracy of each rule, by expectation maximisation.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], start: list[float], rounds: int = 100) -> tuple[float, list[float]]:
+    """Share of good documents and accuracy of each rule's votes, by expectation maximisation.
 
-    Rules err independently given the truth. Accuracies stay within 0.55 to 0.99, so a rule is
-    taken to be better than chance; the share stays within 0.05 to 0.95.
+    Rules err independently given the truth; abstentions say nothing. What a rule is taken for at
+    first counts as much as its votes do, which ties the two classes to good and bad. Accuracies
+    stay within 0.55 to 0.99, the share within 0.05 to 0.95.
     """
-    prior, accuracy = 0.7, [0.8] * rules
+    prior, accuracy = 0.8, list(start)
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
-        good, right, cast = 0.0, [1.0] * rules, [1.25] * rules  # a weak prior of 0.8
+        good, right, cast = 0.0, [0.0] * len(start), [0.0] * len(start)
         for vote, n in patterns:
             p = posterior(vote, prior, accuracy)
             good += n * p
@@ -84,8 +87,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: in
                 if v:
                     cast[j] += n
                     right[j] += n * (p if v > 0 else 1 - p)
-        prior = min(max(good / total, 0.05), 0.95)
-        accuracy = [min(max(r / c, 0.55), 0.99) for r, c in zip(right, cast, strict=True)]
+        prior = min(max((good + 0.8 * total) / (2 * total), 0.05), 0.95)
+        accuracy = [min(max((r + a * (c + 1)) / (2 * c + 1), 0.55), 0.99) for r, c, a in zip(right, cast, start, strict=True)]
     return prior, accuracy
 
 
@@ -94,7 +97,7 @@ def posterior(vote: tuple[int, ...], prior: float, accuracy: list[float]) -> flo
     return 1 / (1 + math.exp(-z))
 
 
-def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, rules: dict[str, tuple[str, str, float]] = RULES, threshold: float = 0.5) -> DataFrame:
     """Statistics, base_failed, probability and kept for every row of docs(doc_id, text, ..).
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated runs. kept is
@@ -105,7 +108,7 @@ def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, threshold:
     cast = votes(rules)
     voted = stats.withColumns(cast)
     counts = voted.groupBy(*cast).count().collect()  # at most 3 ** len(rules) rows
-    prior, accuracy = estimate([(tuple(r[:-1]), r[-1]) for r in counts], len(cast))
+    prior, accuracy = estimate([(tuple(r[:-1]), r[-1]) for r in counts], [a for _, _, a in rules.values()])
     z = F.lit(math.log(prior / (1 - prior)))
     for name, a in zip(cast, accuracy, strict=True):
         z = z + F.col(name) * math.log(a / (1 - a))
