@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weirmesh.llm import decontaminate, langid, language_model, mixing, near_dedup, quality, suffix_dedup
+from weirmesh.llm import decontaminate, html_extract, langid, language_model, license_scan, mixing, near_dedup, quality, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,12 +29,23 @@ def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs.drop("lang"), langid.train(docs))
     return out.select("row.doc_id", langid.held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, _table(spark, sf, "labels")))
+    return out.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents")).drop("source")
 
@@ -43,6 +54,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.removal_digest(_table(spark, sf, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, _table(spark, sf, "benchmark"))
@@ -56,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op7_mixing": mixing.SQL} | more
+    return {"op7_mixing": mixing.SQL, "op9_license_scan": license_scan.sql()} | more
