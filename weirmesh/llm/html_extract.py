@@ -37,6 +37,8 @@ LABELLED = (
     (40, 0.0, 60, 0.0, 0, 0, 1, 0, 0, 0), (25, 0.0, 80, 0.0, 3, 0.0, 1, 0, 0, 0), (3, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (30, 0.05, 50, 0.0, 45, 0.0, 1, 0, 1, 0),
     (8, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0), (20, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0, 0), (55, 0.0, 70, 0.0, 60, 0.0, 0, 1, 1, 0), (4, 0.5, 30, 0.0, 40, 0.0, 0, 1, 1, 0),
     (35, 0.0, 20, 0.0, 4, 0.0, 0, 1, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 0, 0), (15, 0.0, 12, 0.0, 18, 0.0, 0, 1, 0, 0), (90, 0.0, 12, 0.0, 18, 0.0, 0, 1, 0, 0),
+    (2, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1, 0), (12, 0.0, 4, 0.0, 30, 0.0, 0, 1, 1, 0), (8, 0.0, 60, 0.0, 8, 0.0, 0, 1, 1, 0), (100, 0.0, 30, 0.0, 30, 0.0, 0, 1, 1, 0),
+    (3, 0.0, 9, 0.0, 40, 0.0, 1, 0, 1, 0), (15, 0.0, 40, 0.0, 20, 0.0, 1, 0, 1, 0), (90, 0.0, 30, 0.0, 30, 0.0, 1, 0, 1, 0), (1, 0.0, 30, 0.0, 3, 0.0, 0, 1, 1, 0),
     (9, 0.0, 8, 0.0, 9, 0.0, 0, 0, 1, 1), (9, 0.0, 0, 0, 40, 0.0, 0, 0, 1, 1), (1, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1, 1), (2, 0.0, 2, 0.0, 1, 0.0, 0, 0, 1, 1),
     (40, 0.0, 9, 0.0, 80, 0.0, 0, 0, 1, 1), (120, 0.02, 40, 0.0, 30, 0.0, 0, 0, 1, 1), (60, 0.3, 40, 0.0, 30, 0.0, 0, 0, 1, 1), (300, 0.0, 1, 0.0, 0, 0, 0, 0, 1, 1),
     (5, 0.0, 70, 0.0, 25, 0.0, 0, 0, 1, 1), (3, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1, 1), (25, 0.4, 30, 0.0, 0, 0.0, 0, 0, 1, 1), (12, 0.5, 90, 0.1, 0, 0.0, 0, 0, 1, 1),

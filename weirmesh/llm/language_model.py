@@ -295,7 +295,7 @@ def _score(model: Model):
             (cont,) = _look(model, "continuation", low, part_of(low, model.parts))
             off = np.select([cont == 0, cont == 1, cont == 2], [0.0, model.e[0], model.e[1]], model.e[2])
             uniform = 1 / (model.words + 1)
-            below = ((cont - off) / model.pairs if model.pairs else 0) + model.spare * uniform
+            below = (cont - off) / max(model.pairs, 1) + model.spare * uniform
             ctx, c_of = np.unique(u, return_inverse=True)
             cu, n1, n2, n3 = _look(model, "context", ctx, part_of(ctx, model.parts))
             back = np.where(cu > 0, (model.d[0] * n1 + model.d[1] * n2 + model.d[2] * n3) / np.maximum(cu, 1), 1.0)
