@@ -30,25 +30,24 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SHUT = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea")}
 
-#: Hand-labelled blocks: the features in order, then 1 for main text.
-LABELLED = (
-    # words, links, before, after: words and links; furniture, hint, article
-    (6, 1.0, 0, 0, 6, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0), (12, 0.1, 40, 0.0, 0, 0, 1, 0, 0, 0),
-    (40, 0.0, 60, 0.0, 0, 0, 1, 0, 0, 0), (25, 0.0, 80, 0.0, 3, 0.0, 1, 0, 0, 0), (3, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (30, 0.05, 50, 0.0, 45, 0.0, 1, 0, 1, 0),
-    (8, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0), (20, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0, 0), (55, 0.0, 70, 0.0, 60, 0.0, 0, 1, 1, 0), (4, 0.5, 30, 0.0, 40, 0.0, 0, 1, 1, 0),
-    (35, 0.0, 20, 0.0, 4, 0.0, 0, 1, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 0, 0), (15, 0.0, 12, 0.0, 18, 0.0, 0, 1, 0, 0), (90, 0.0, 12, 0.0, 18, 0.0, 0, 1, 0, 0),
-    (2, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1, 0), (12, 0.0, 4, 0.0, 30, 0.0, 0, 1, 1, 0), (8, 0.0, 60, 0.0, 8, 0.0, 0, 1, 1, 0), (100, 0.0, 30, 0.0, 30, 0.0, 0, 1, 1, 0),
-    (3, 0.0, 9, 0.0, 40, 0.0, 1, 0, 1, 0), (15, 0.0, 40, 0.0, 20, 0.0, 1, 0, 1, 0), (90, 0.0, 30, 0.0, 30, 0.0, 1, 0, 1, 0), (1, 0.0, 30, 0.0, 3, 0.0, 0, 1, 1, 0),
-    (9, 0.0, 8, 0.0, 9, 0.0, 0, 0, 1, 1), (9, 0.0, 0, 0, 40, 0.0, 0, 0, 1, 1), (1, 0.0, 50, 0.0, 60, 0.0, 0, 0, 1, 1), (2, 0.0, 2, 0.0, 1, 0.0, 0, 0, 1, 1),
-    (40, 0.0, 9, 0.0, 80, 0.0, 0, 0, 1, 1), (120, 0.02, 40, 0.0, 30, 0.0, 0, 0, 1, 1), (60, 0.3, 40, 0.0, 30, 0.0, 0, 0, 1, 1), (300, 0.0, 1, 0.0, 0, 0, 0, 0, 1, 1),
-    (5, 0.0, 70, 0.0, 25, 0.0, 0, 0, 1, 1), (3, 0.0, 1, 1.0, 0, 0.0, 0, 0, 1, 1), (25, 0.4, 30, 0.0, 0, 0.0, 0, 0, 1, 1), (12, 0.5, 90, 0.1, 0, 0.0, 0, 0, 1, 1),
-    (4, 1.0, 60, 0.0, 4, 1.0, 0, 0, 1, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0), (10, 1.0, 120, 0.0, 9, 1.0, 0, 0, 1, 0), (2, 1.0, 9, 0.0, 40, 0.0, 0, 0, 1, 0),
-    (50, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (30, 0.1, 10, 0.0, 55, 0.0, 0, 0, 0, 1), (200, 0.05, 7, 0.0, 150, 0.0, 0, 0, 0, 1), (22, 0.0, 90, 0.0, 35, 0.0, 0, 0, 0, 1),
-    (45, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (80, 0.2, 4, 0.5, 60, 0.1, 0, 0, 0, 1), (7, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1), (8, 0.0, 55, 0.0, 70, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 80, 0.0, 45, 0.0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 20, 0.0, 0, 0, 0, 1), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (12, 0.8, 3, 1.0, 5, 1.0, 0, 0, 0, 0), (30, 0.9, 20, 0.9, 8, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.0, 4, 1.0, 3, 0.9, 0, 0, 0, 0),
-    (6, 0.5, 9, 0.6, 4, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 0), (9, 0.6, 100, 0.0, 0, 0, 0, 0, 0, 0), (1, 0.0, 1, 1.0, 4, 0.0, 0, 0, 0, 0),
-)
+def labelled_table() -> list[tuple[float, ...]]:
+    """Labelled blocks: the features in order, then 1 for main text.
+
+    Typical sizes of a block and its neighbours, in every surrounding: nothing in furniture or under
+    a hint is main text; inside an article all is, but for lists of links; elsewhere long blocks with
+    few links are, and short ones between such blocks.
+    """
+    rows = []
+    for words in (1, 3, 9, 30, 150):
+        for links in (0.0, 0.25, 0.95):
+            for before, after in ((0, 0), (2, 2), (2, 60), (60, 2), (60, 60), (0, 60), (60, 0), (9, 30)):
+                around = (before, 0.9 if before == 2 else 0.0, after, 0.9 if after == 2 else 0.0)
+                alone = links < 0.5 and (words >= 20 or words >= 3 and min(before, after) >= 30)
+                rows.append((words, links, *around, 0, 0, 0, int(alone)))
+                rows.append((words, links, *around, 0, 0, 1, int(links < 0.5)))
+                rows.append((words, links, *around, 1, 0, int(words == 3), 0))
+                rows.append((words, links, *around, 0, 1, int(words != 9), 0))
+    return rows
 
 
 class Tree:
@@ -92,7 +91,7 @@ class Tree:
 
 
 def labelled_tree() -> Tree:
-    t = np.array(LABELLED, float)
+    t = np.array(labelled_table(), float)
     return Tree(t[:, :-1], t[:, -1])
 
 
