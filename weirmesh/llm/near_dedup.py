@@ -149,9 +149,12 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
         if not left["pairs"]:
             break
         last = turn == hub_rounds or left["pairs"] <= max(2 * left["rows"], 10_000)
-        if last:  # what is left: all members of different components
-            other = at.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("g").alias("g2"))
-            pairs = at.join(other, "value").filter("g < g2")
+        if last:  # what is left: all members of different components, a pair at its first common value
+            mixed = by.filter(F.col("all") * F.col("all") > F.col("same")).select("value")
+            at = at.join(mixed, "value", "left_semi")
+            at = stage_table(at.join(at.groupBy("id").agg(F.collect_set("value").alias("own")), "id"), "mixed")
+            other = at.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("g").alias("g2"), F.col("own").alias("own2"))
+            pairs = at.join(other, "value").filter("g < g2").filter(size).filter(F.array_min(F.array_intersect("own", "own2")) == F.col("value"))
         else:
             order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
             hubs = at.groupBy("value").agg(F.min(F.struct(order.alias("o"), "id", "n", "c", "g")).alias("h")).select("value", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.c").alias("c2"), F.col("h.g").alias("g2"))
