@@ -256,9 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     count = {r[0]: r[1] for r in marked.groupBy((F.col("toxic") == 1).alias("t")).count().collect()}  # two rows
     h = F.xxhash64("doc_id", F.lit(13))
     rate = F.when(F.col("toxic") == 1, sample / max(count.get(True, 0), 1)).otherwise(2 * sample / max(count.get(False, 0), 1))
-    chosen = marked.filter(F.pmod(h, F.lit(1 << 20)) < rate * (1 << 20))
+    chosen = marked.filter(F.pmod(h, F.lit(1 << 20)) < rate * (1 << 20)).limit(30 * sample)  # about 3 * sample rows; the limit only proves the bound
     start = F.lit(1) + F.pmod(F.shiftright(h, 20), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int")
-    rows = docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select((F.col("toxic") == 1).alias("y"), h.alias("h"), F.substr("text", start, F.lit(chars)).alias("t"))
+    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select((F.col("toxic") == 1).alias("y"), h.alias("h"), F.substr("text", start, F.lit(chars)).alias("t"))
     rows = sorted((bool(r["y"]), r["h"], r["t"]) for r in rows.collect())  # about 3 * sample rows
     model = Model()
     if not rows:
