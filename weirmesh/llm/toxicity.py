@@ -266,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     y = np.array([r[0] for r in rows])
     texts = [r[2] for r in rows]
     model.terms, model.stems = learn_terms(texts, y)
-    x = features(pa.array(texts, pa.string()), Matcher(model))
+    matcher = Matcher(model)
+    x = np.concatenate([features(pa.array(texts[i : i + 250], pa.string()), matcher) for i in range(0, len(texts), 250)])
     if 0 < y.mean() < 1:
         model.weights = fit(x, y.astype(float))
     return model
