@@ -194,6 +194,48 @@ def test_repeats_inside_a_text_and_on_odd_rows(spark):
     assert suffix_dedup.removal_digest(odd(spark).limit(0)).count() == 0
 
 
+def test_a_frequent_line_in_many_contexts(spark):
+    r = random.Random(9)
+    words = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    line, passage, twin = words(120), words(400), words(700)
+    own = [words(150) + line + words(150) for _ in range(60)] + [words(90) + passage + words(90) for _ in range(30)]
+    own += [twin] * 25 + [own[3], own[3][40:], words(300) + line, (line + "|") * 9]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(5, "doc_id")
+    got = [tuple(x)[1:] for x in suffix_dedup.removal_digest(df).orderBy("doc_id").collect()]
+    assert got == removed([t.encode() for t in own])
+
+
+def test_whole_characters_go(spark):
+    own = ["é" * 150 + "x", "y" + "é" * 99 + "e" + "é" * 99 + "e", "z" + "é" * 99 + "e" + "é" * 99 + "ö"]
+    got = [x.text for x in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(set(g) <= set(o) and "\ufffd" not in g for g, o in zip(got, own, strict=True)) and got[0] == "x"
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_flags_of_a_stream(size):
+    r = random.Random(size)
+    for _ in range(60):
+        rows = []
+        for a in range(r.randint(1, 8)):
+            rows += [(k, 0, 0, a, 10 * a + r.randint(0, r.choice([0, 1, 4])), r.choice([0, 0, 0, 1])) for k in range(r.randint(1, 9))]
+            rows += [(0, 0, 0, a, -(1 << 63), suffix_dedup.TELLS)] * r.choice([0, 0, 0, 1, 2])
+        rows.sort(key=lambda x: (x[3], x[4]))
+        batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int8()], strict=True)], suffix_dedup._ROW)
+        out = suffix_dedup._flag(batch(rows[k : k + size]) for k in range(0, len(rows), size))
+        got = sorted((x["h1"], x["anchor"], x["digest"], x["whole"], x["open"]) for b in out for x in b.to_pylist())
+        told = {x[3] for x in rows if x[5] == suffix_dedup.TELLS}
+        n, kinds = Counter(), {}
+        for x in rows:
+            n[x[4]] += 1 + (x[5] == suffix_dedup.TWICE)
+            kinds.setdefault(x[3], set()).add(x[4])
+        real = [x for x in rows if x[5] != suffix_dedup.TELLS]
+        want = [(x[0], x[3], x[4], n[x[4]] > 1 and x[3] not in told, x[3] in told) for x in real if x[3] in told or n[x[4]] > 1 or len(kinds[x[3]]) > 1]
+        assert got == sorted(want)
+        out = suffix_dedup._flag(batch(rows[k : k + size]) for k in range(0, len(rows), size))
+        firsts = sorted(x["digest"] for b in out for x in b.to_pylist() if x["first"])
+        assert firsts == sorted({x[4] for x in real if x[3] not in told and len(kinds[x[3]]) > 1})
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(2)
     for t in (r.integers(0, 2, 200), r.integers(0, 255, 300), np.zeros(50), np.zeros(1), np.tile([1, 2, 0], 40)):

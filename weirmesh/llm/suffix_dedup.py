@@ -100,48 +100,124 @@ def snippets(data: np.ndarray, off: np.ndarray, length: int = LENGTH, run: int =
     return doc, a, b, h, digest
 
 
+#: What is known of an occurrence where it was found: it is the first of its snippet there, and
+#: stands for one or for several; it follows one of the latter; its anchor has many snippets there,
+#: so it is dealt by snippet instead (again for one or several); or it only tells of such an anchor.
+ONE, TWICE, KNOWN, SPREAD, SPREAD_TWICE, TELLS = range(6)
+SPREAD_SNIPPETS = 8  # of one anchor in one piece of text, from which it is dealt by snippet
+REMEMBERED = 500_000  # snippets and anchors a task remembers; when full it starts anew, at the cost of rows only
+_FIRST = np.int64(-(1 << 63))  # sorts before any snippet
+
+
+class _Known:
+    """Values that a task has already told of."""
+
+    def __init__(self) -> None:
+        self.values = np.zeros(0, np.int64)
+
+    def has(self, v: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.values, v), max(len(self.values) - 1, 0))
+        return self.values[at] == v if len(self.values) else np.zeros(len(v), bool)
+
+    def add(self, v: np.ndarray) -> None:
+        self.values = np.union1d(self.values, v) if len(self.values) + len(v) <= REMEMBERED else np.unique(v)
+
+
 def _occurrences(length: int):
+    """A row for each snippet. Those whose fate is clear within a task are marked so, so that a
+    frequent snippet or anchor sends about one row from each task to where its rows meet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies, crowded = _Known(), _Known()
         for b in tx.pieces(batches, "text"):
             data, off = tx.buffers(b.column("text"))
             doc, _, _, h, digest = snippets(data, off, length)
             i = np.arange(len(doc)) - np.searchsorted(doc, doc)
             h1, h2 = (np.asarray(b.column(c)) for c in ("h1", "h2"))
-            yield pa.RecordBatch.from_arrays([pa.array(h1[doc]), pa.array(h2[doc]), pa.array(i.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(digest.view(np.int64))], ["h1", "h2", "i", "anchor", "digest"])
+            anchor, digest = h.view(np.int64), digest.view(np.int64)
+            each, at, n = np.unique(digest, return_index=True, return_counts=True)
+            kind = np.full(len(digest), KNOWN, np.int8)
+            new = ~copies.has(each)
+            at, n = at[new], n[new]
+            copies.add(each[new][n > 1])
+            names, which, many = np.unique(anchor[at], return_inverse=True, return_counts=True)
+            told = crowded.has(names)
+            tell = (many >= SPREAD_SNIPPETS) & ~told
+            crowded.add(names[tell])
+            kind[at] = np.where(n > 1, TWICE, ONE) + np.where((told | tell)[which], SPREAD, 0)
+            t = int(tell.sum())
+            zero = np.zeros(t, np.int64)
+            cols = [(h1[doc], zero), (h2[doc], zero), (i.astype(np.int32), zero.astype(np.int32)), (anchor, names[tell]), (digest, np.full(t, _FIRST)), (kind, np.full(t, TELLS, np.int8))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], _ROW)
 
     return run
 
 
+_ROW = ["h1", "h2", "i", "anchor", "digest", "kind"]
+_ROW_SQL = "h1 long, h2 long, i int, anchor long, digest long, kind byte"
+_FLAGS_SQL = f"{_ROW_SQL}, whole boolean, first boolean, open boolean"
+
+
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, digest; out come those of repeated anchors with
-    whole (its snippet occurs again) and first (of a digest, where the anchor has several)."""
-    carry = None
+    """Rows sorted by anchor, digest; out come those of repeated anchors with whole (its snippet
+    occurs again), first (of a digest, where the anchor has several) and open (its anchor is dealt
+    by snippet, so whole and first are found later). Holds three rows of an anchor at most."""
+
+    def decide(t: pa.RecordBatch, old: np.ndarray, end: bool) -> tuple[pa.RecordBatch, pa.RecordBatch, np.ndarray]:
+        """Rows that can be told, then those to go on with and which of these were told."""
+        a, d, kind = (np.asarray(t.column(c)) for c in ("anchor", "digest", "kind"))
+        new_a = np.append(True, a[1:] != a[:-1])
+        new_d = new_a | np.append(True, d[1:] != d[:-1])
+        ga, gd = np.cumsum(new_a) - 1, np.cumsum(new_d) - 1
+        is_open = np.bincount(ga, kind == TELLS)[ga] > 0
+        whole = np.bincount(gd, 1 + (kind == TWICE))[gd] > 1
+        several = np.bincount(ga, new_d)[ga] > 1
+        keep = (whole | several | is_open) & (kind != TELLS) & ~old
+        go = np.zeros(0, np.int64)
+        if not end:
+            tail = int(np.flatnonzero(new_d)[-1])  # of the last digest, which may go on
+            go = np.unique([int(np.flatnonzero(new_a)[-1]), tail, min(tail + 1, len(a) - 1)])
+            if not is_open[-1] and not (whole[-1] and several[-1]):
+                keep[tail] = False
+                told = ~np.isin(go, tail) | old[go]
+            else:
+                told = np.ones(len(go), bool)
+        else:
+            told = np.zeros(0, bool)
+        at = np.flatnonzero(keep)
+        return _with(t.take(pa.array(at)), (whole & ~is_open)[at], (new_d & several & ~is_open)[at], is_open[at]), t.take(pa.array(go)), told
+
+    carry, told = None, np.zeros(0, bool)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = batch if carry is None else pa.concat_batches([carry, batch])
-        a = np.asarray(t.column("anchor"))
-        other = np.flatnonzero(a != a[-1])  # an anchor's rows may go on in the next batch; hold them back
-        cut = int(other[-1]) + 1 if len(other) else 0
-        carry = t.slice(cut)
-        if cut:
-            yield _flagged(t.slice(0, cut))
-    if carry is not None and carry.num_rows:
-        yield _flagged(carry)
-
-
-def _flagged(t: pa.RecordBatch) -> pa.RecordBatch:
-    a, d = np.asarray(t.column("anchor")), np.asarray(t.column("digest"))
-    new_a = np.ones(len(a), bool)
-    new_a[1:] = a[1:] != a[:-1]
-    new_d = new_a.copy()
-    new_d[1:] |= d[1:] != d[:-1]
-    ga, gd = np.cumsum(new_a) - 1, np.cumsum(new_d) - 1
-    whole = np.bincount(gd)[gd] > 1
-    several = np.bincount(ga[new_d])[ga] > 1
-    keep = np.flatnonzero(whole | several)
-    out = t.take(pa.array(keep))
-    return pa.RecordBatch.from_arrays([*out.columns, pa.array(whole[keep]), pa.array((new_d & several)[keep])], [*out.schema.names, "whole", "first"])
+        kind = np.asarray(batch.column("kind"))
+        for mask, whole in ((kind == KNOWN, True), ((kind == SPREAD) | (kind == SPREAD_TWICE), False)):
+            if mask.any():
+                n = int(mask.sum())
+                yield _with(batch.filter(pa.array(mask)), np.full(n, whole), np.zeros(n, bool), np.full(n, not whole))
+        rest = batch.filter(pa.array((kind < KNOWN) | (kind == TELLS)))
+        if rest.num_rows:
+            t = rest if carry is None else pa.concat_batches([carry, rest])
+            out, carry, told = decide(t, np.append(told, np.zeros(rest.num_rows, bool)), False)
+            yield out
+    if carry is not None:
+        yield decide(carry, told, True)[0]
+
+
+def _with(t: pa.RecordBatch, *flags: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*t.columns, *(pa.array(f) for f in flags)], [*_ROW, "whole", "first", "open"])
+
+
+def _flags(texts: DataFrame, length: int) -> DataFrame:
+    """(h1, h2, i, anchor, digest, whole, first) of snippets whose anchor occurs more than once."""
+    rows = texts.mapInArrow(_occurrences(length), _ROW_SQL)
+    kind = F.col("kind")
+    to = F.when(kind == KNOWN, F.xxhash64("h1", "i")).when(kind.isin(SPREAD, SPREAD_TWICE), F.col("digest")).otherwise(F.col("anchor"))
+    flags = stage_table(rows.repartition(to).sortWithinPartitions("anchor", "digest").mapInArrow(_flag, _FLAGS_SQL), "flags")
+    cols = ["h1", "h2", "i", "anchor", "digest", "whole", "first"]
+    left = flags.filter("open").select("h1", "h2", "i", "anchor", "digest", kind.isin(TWICE, SPREAD_TWICE).alias("twice"))
+    by = left.groupBy("digest").agg((F.count("*") + F.count_if("twice") > 1).alias("whole"), F.min(F.struct("h1", "h2", "i")).alias("f"))
+    late = left.join(by, "digest").withColumn("first", F.col("f") == F.struct("h1", "h2", "i"))
+    return flags.filter("not open").select(cols).unionByName(stage_table(late.select(cols), "spread"))
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -324,8 +400,9 @@ def _cut_snippets(length: int):
     return run
 
 
-def _apply(length: int):
-    """Spans and the kept bytes of each text from its whole and part flags."""
+def _apply(length: int, whole_chars: bool):
+    """Spans and the kept bytes of each text from its whole and part flags; with whole_chars a
+    character goes if any of its bytes does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.pieces(batches, "text", 4_000_000):
@@ -349,6 +426,9 @@ def _apply(length: int):
                 gone = np.cumsum(edge[:-1]) > 0
                 if not gone.any():
                     continue
+                if whole_chars:
+                    begin = np.union1d(0, np.flatnonzero((own & 0xC0) != 0x80))
+                    gone = np.repeat(np.logical_or.reduceat(gone, begin), np.diff(np.append(begin, len(own))))
                 turn = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
                 spans = np.stack([np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)], axis=1)
                 out.append((h1, h2, [{"start": int(s), "end": int(e)} for s, e in spans], own[~gone].tobytes()))
@@ -359,14 +439,13 @@ def _apply(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, whole_chars: bool = False) -> DataFrame:
     """(h1, h2, spans, kept) of every distinct text that holds a repeat: byte spans to remove, and
     the bytes that stay. A byte goes if a string of length bytes over it also starts anywhere else,
-    in another row or the same text. Texts are UTF-8 bytes; matches never cross rows."""
+    in another row or the same text. Texts are UTF-8 bytes; matches never cross rows. whole_chars
+    widens the spans to whole characters."""
     texts = docs.select(*text_key(), "text").filter(F.octet_length("text") >= length)
-    rows = texts.mapInArrow(_occurrences(length), "h1 long, h2 long, i int, anchor long, digest long")
-    flags = rows.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_flag, "h1 long, h2 long, i int, anchor long, digest long, whole boolean, first boolean")
-    flags = stage_table(flags, "flags")
+    flags = _flags(texts, length)
     by = flags.groupBy("h1", "h2").agg(F.collect_set(F.when(F.col("whole"), F.col("i"))).alias("wholes"), F.collect_set(F.when(F.col("first"), F.col("i"))).alias("firsts"))
     found = stage_table(texts.join(by, ["h1", "h2"]).dropDuplicates(["h1", "h2"]), "repeats")
 
@@ -386,7 +465,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = flags.filter("not whole").select("h1", "h2", "i", "anchor", "digest").join(parts, ["anchor", "digest"])
     parts = parts.groupBy("h1", "h2").agg(F.collect_list(F.struct("i", "ranges")).alias("parts"))
     marked = found.select("h1", "h2", "text", "wholes").join(parts, ["h1", "h2"], "left").filter("size(wholes) > 0 or parts is not null")
-    return marked.mapInArrow(_apply(length), "h1 long, h2 long, spans array<struct<start: long, end: long>>, kept binary")
+    return marked.mapInArrow(_apply(length, whole_chars), "h1 long, h2 long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def _spread(across: DataFrame) -> DataFrame:
@@ -399,11 +478,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A character that loses some of its bytes is dropped whole. Null texts stay null.
     """
-    spans = repeated_spans(docs, length).select("h1", "h2", F.col("kept").alias("_kept"), F.lit(True).alias("_cut"))
+    spans = repeated_spans(docs, length, whole_chars=True).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("kept").cast("string").alias("_kept"))
     h1, h2 = text_key()
-    out = docs.withColumns({"_h1": h1, "_h2": h2}).join(spans.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}), ["_h1", "_h2"], "left")
-    text = F.when(F.col("_cut"), F.try_validate_utf8("_t")) if False else F.when(F.col("_cut"), F.make_valid_utf8(F.col("_kept").cast("string"))).otherwise(F.col("text"))
-    return out.withColumn("text", F.regexp_replace(text, "�", "") if False else text).select(*docs.columns)
+    out = docs.withColumns({"_h1": h1, "_h2": h2}).join(spans, ["_h1", "_h2"], "left")
+    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
