@@ -55,6 +55,18 @@ def candidate_key(tile: Column, lon: Column, lat: Column) -> Column:
     return F.format_string("%s_%.6f_%.6f", tile, lon, lat)
 
 
+def match_by_prefix(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
+    """outputs(name, ..) with stem, the smallest of inputs(stem) that name continues after a "_".
+
+    Every beginning of a name that ends before a "_" is a key of an equi-join.
+    """
+    parts = F.split("name", "_")
+    keys = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "_"))
+    cut = outputs.select("name", F.explode(keys).alias("stem")).filter(F.contains("name", F.lit("_")))
+    first = cut.join(inputs.select("stem"), "stem").groupBy("name").agg(F.min("stem").alias("stem"))
+    return outputs.join(first, "name", "left")
+
+
 def remaining(work: DataFrame, progress: DataFrame, key: str = "key", limit: int | None = None) -> DataFrame:
     """Work without a terminal entry in progress; a limit applies after that."""
     left = work.join(progress.select(key), key, "left_anti")

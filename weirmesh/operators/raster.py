@@ -53,6 +53,30 @@ def mask_components(cells: DataFrame, width: int = 1 << 20) -> DataFrame:
     )
 
 
+def dilate(cells: DataFrame, reach: int, height: int, width: int) -> DataFrame:
+    """cells(row, col) and all within reach on either axis, inside a frame of height x width."""
+    out = cells.select("row", "col").distinct()
+    for c, n in (("row", height), ("col", width)):
+        out = out.withColumn(c, F.explode(F.sequence(F.greatest(F.col(c) - reach, F.lit(0)), F.least(F.col(c) + reach, F.lit(n - 1))))).distinct()
+    return out
+
+
+def erode(cells: DataFrame, reach: int, height: int, width: int) -> DataFrame:
+    """Cells whose square of reach lies in cells(row, col); what is outside the frame doesn't count."""
+    out = cells.select("row", "col").distinct()
+    for c, n in (("row", height), ("col", width)):
+        lo, hi = F.greatest(F.col(c) - reach, F.lit(0)), F.least(F.col(c) + reach, F.lit(n - 1))
+        held = out.withColumn(c, F.explode(F.sequence(lo, hi))).groupBy("row", "col").agg(F.count("*").alias("held"))
+        out = held.filter(F.col("held") == hi - lo + 1).select("row", "col")
+    return out
+
+
+def clean_mask(cells: DataFrame, height: int, width: int, opening: int = 1, closing: int = 12) -> DataFrame:
+    """Opening by a square of 3 cells, then closing by one of 25."""
+    opened = dilate(erode(cells, opening, height, width), opening, height, width)
+    return erode(dilate(opened, closing, height, width), closing, height, width)
+
+
 def excess_area(subcells: DataFrame, segments: DataFrame, reach: int, sub: int = 1) -> DataFrame:
     """Anomalous widening on cell sets: subcells(id, x, y) are squares of sub metres.
 

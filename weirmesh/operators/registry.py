@@ -90,6 +90,13 @@ def stratified_sample(df: DataFrame, key: str, n: int = SAMPLE_SIZE, grid: int =
     return few.orderBy(seeded_order(F.col(key), seed), F.col(key)).limit(n)
 
 
+def spot_check(df: DataFrame, key: str, group: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows of each group to look at by hand, the same each time, with the group's size."""
+    w = Window.partitionBy(group).orderBy(seeded_order(F.col(key), seed), F.col(key))
+    few = df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
+    return few.join(df.groupBy(group).agg(F.count("*").alias("group_size")), group)
+
+
 def holdout_split(sample: DataFrame, key: str, fraction: float = HOLDOUT_FRACTION, seed: int = 7, at_least: int = 0) -> DataFrame:
     """The sample with split train/holdout; round(n * fraction) rows are held out."""
     size = max(at_least, round(sample.count() * fraction))

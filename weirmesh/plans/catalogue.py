@@ -351,3 +351,20 @@ def terrain_steps(s, d):
     cells = li.select((F.col("l_suppkey") % 4).alias("tile_id"), (F.col("l_partkey") % 40).alias("row"), (F.col("l_orderkey") % 40).alias("col"), "l_quantity")
     dem = cells.groupBy("tile_id", "row", "col").agg((F.avg("l_quantity") / 1e5 + 200 - 0.001 * F.col("row") - F.greatest(F.col("row") - 19, F.lit(0))).alias("elev"))
     return raster.terrain_steps(dem, accum=10)
+
+
+@query
+def clean_mask(s, d):
+    return raster.clean_mask(_ndwi(s, d).filter("ndwi > 0.1"), 200, 100)
+
+
+@query
+def prefix_match(s, d):
+    o = T.load(s, d, "orders").select(F.concat(F.lit("tile_"), "o_custkey", F.lit("_"), "o_orderkey").alias("name"))
+    return manifest.match_by_prefix(o, T.tiles(s, d).filter("tile_id % 3 > 0").select(F.col("name").alias("stem")))
+
+
+@query
+def spot_check(s, d):
+    m = closest_match(T.candidates(s, d), T.registry(s, d), K.MATCH_TOLERANCE)
+    return reg.spot_check(m.select("id", "match_status"), "id", "match_status", 20)
