@@ -355,7 +355,7 @@ def terrain_steps(s, d):
 
 @query
 def clean_mask(s, d):
-    return raster.clean_mask(_ndwi(s, d).filter("ndwi > 0.1"), 200, 100)
+    return raster.clean_mask(_ndwi(s, d).filter("ndwi > -0.1"), 200, 100)
 
 
 @query

@@ -196,7 +196,7 @@ def all_oracles() -> dict[str, str]:
           SELECT *, round(candidate_hits/candidate_total, 6) AS precision, round(inventory_hits/inventory_total, 6) AS recall FROM p, q""",
         "removed_barriers": f"WITH cand AS ({_CAND}) SELECT source, source_id, x, y FROM ({sparse}) r WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE r.x BETWEEN c.x-30 AND c.x+30 AND (r.x-c.x)*(r.x-c.x)+(r.y-c.y)*(r.y-c.y) <= 900)",
         "project_grid": _project(),
-        "clean_mask": f"WITH m AS (SELECT row, col FROM ({_NDWI}) WHERE ndwi > 0.1), a AS ({_square('m', 1, False)}), b AS ({_square('a', 1, True)}), c AS ({_square('b', 12, True)}) {_square('c', 12, False)}",
+        "clean_mask": f"WITH m AS (SELECT row, col FROM ({_NDWI}) WHERE ndwi > -0.1), a AS ({_square('m', 1, False)}), b AS ({_square('a', 1, True)}), c AS ({_square('b', 12, True)}) {_square('c', 12, False)}",
         "prefix_match": "WITH o AS (SELECT concat('tile_', o_custkey, '_', o_orderkey) AS name, concat('tile_', o_custkey) AS stem FROM orders) SELECT name, t.stem FROM o LEFT JOIN (SELECT concat('tile_', c_custkey) AS stem FROM customer WHERE c_custkey % 3 > 0) t USING (stem)",
         "spot_check": f"""WITH cand AS ({_CAND}), reg AS ({sparse}), mt AS ({_match('cand', 'reg')}), f AS (SELECT c.id, {_MATCHED} AS match_status FROM cand c LEFT JOIN mt USING (id))
           SELECT id, match_status, count(*) OVER (PARTITION BY match_status) AS group_size FROM f QUALIFY row_number() OVER (PARTITION BY match_status ORDER BY md5(concat(id, '|42')), id) <= 20""",
