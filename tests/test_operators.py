@@ -13,6 +13,7 @@ from weirmesh.operators import fusion, manifest, raster, registry
 from weirmesh.operators.components import connected_components
 from weirmesh.operators.proximity import closest_match, neighbour_pairs
 from weirmesh.operators.suppression import greedy_suppress
+from weirmesh.sources import files
 from weirmesh.sources.connectors import register
 from weirmesh.streaming.incremental import confirm_stream
 
@@ -166,3 +167,44 @@ def test_stream_scores_each_key_once(spark, tmp_path):
         spark.createDataFrame(batch, "key string").coalesce(1).write.mode("append").json(src)
         confirm_stream(spark, src, "key string", out, cp, score)
     assert sorted(r.key for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_box_of_the_largest_blob_near_the_centre(spark):
+    def blob(r0, r1, c0, c1):
+        return [(r, c) for r in range(r0, r1) for c in range(c0, c1)]
+
+    def box(cells):
+        found = raster.near_centre_box(raster.mask_components(spark.createDataFrame(cells, "row long, col long")), 100, 100).collect()
+        return [tuple(r) for r in found]
+
+    near, far, small = blob(40, 65, 30, 50), blob(0, 30, 0, 30), blob(70, 80, 60, 70)
+    assert box(near + far + small) == [(30, 40, 50, 65, 500)]
+    assert box(far + small) == []
+    assert box(blob(2, 98, 2, 98)) == []  # nearly the whole frame
+
+
+def test_only_terminal_states_are_left_alone(spark):
+    work = spark.createDataFrame([(k,) for k in "abcde"], "key string")
+    log = spark.createDataFrame([("a", "OK"), ("b", "NO_COVERAGE"), ("c", "mask_error"), ("d", "ERROR"), (None, "OK")], "key string, status string")
+    assert {r["key"] for r in manifest.remaining(work, manifest.terminal(log)).collect()} == {"d", "e"}
+
+
+def test_chunks_hold_rows_without_a_key_too(spark):
+    rows = spark.createDataFrame([(None,), ("a",), (None,), ("b",), ("c",)], "key string")
+    assert sorted(r["n"] for r in manifest.chunk_assign(rows, "key", 2).groupBy("chunk").count().withColumnRenamed("count", "n").collect()) == [1, 2, 2]
+
+
+def test_features_there_and_back(spark):
+    rows = spark.createDataFrame([(1, 'a "quoted" name', '{"type":"Point","coordinates":[1,2.5]}'), (2, None, '{"type":"LineString","coordinates":[[0,0],[1,1]]}')], "id long, name string, g string")
+    lines = files.feature_collection(rows, "g", "id").select("feature").union(spark.createDataFrame([("no feature",)], "feature string"))
+    got = [tuple(r) for r in files.from_features(lines, "id long, name string").collect()]
+    assert got == [(1, 'a "quoted" name', "Point", "[1,2.5]"), (2, None, "LineString", "[[0,0],[1,1]]"), (None, None, None, None)]
+
+
+def test_measures_of_rings(spark):
+    wkt = ["POLYGON ((0 0, 4 0, 4 2, 0 2, 0 0))", "POLYGON ((1 1, 2 2, 1 1))", "POLYGON EMPTY", None]
+    df = spark.createDataFrame([(w,) for w in wkt], "w string").select(geodesy.wkt_vertices(F.col("w")).alias("v"))
+    got = df.select(geodesy.ring_area(F.col("v")).alias("a"), geodesy.ring_centroid(F.col("v")).alias("c"), geodesy.extent(F.col("v")).alias("e")).collect()
+    assert [r["a"] for r in got] == [8.0, 0.0, 0.0, None]
+    assert tuple(got[0]["c"]) == (2.0, 1.0) and tuple(got[0]["e"]) == (0.0, 0.0, 4.0, 2.0)
+    assert got[1]["c"]["x"] is None and tuple(got[2]["e"]) == (None,) * 4

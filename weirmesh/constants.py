@@ -20,6 +20,8 @@ SOURCE_PRIORITY = {"SNCZI": 0, "DAM_OR_WEIR": 1, "ANDALUCIA_DERA": 2, "AMBER": 3
 SOURCE_PRIORITY_MICRO = {"SNCZI": 0, "ANDALUCIA_DERA": 1, "AMBER": 2, "OSM": 3}
 STAGES = ("imagery", "layer1", "layer2", "layer3", "layer4", "fusion")
 STATUSES = ("pending", "done", "failed")
+TERMINAL_STATUSES = ("OK", "NO_COVERAGE", "mask_error")
+BOX_LEAST_AREA, BOX_REACH, BOX_MOST_OF_FRAME = 400, 0.35, 0.85
 SAMPLE_SIZE, SAMPLE_GRID, HOLDOUT_FRACTION = 100, 10, 0.2
 OUTPUT_COLUMNS = (
     "lat", "lon", "layers", "n_layers", "confidence", "per_layer_confidence", "match_status",

@@ -60,3 +60,9 @@ def wkt_vertices(wkt: Column) -> Column:
     """array<struct<x, y>> of all vertices in a WKT string."""
     pairs = F.regexp_extract_all(wkt, F.lit(r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)? -?[0-9.]+(?:[eE][-+]?[0-9]+)?)"), F.lit(1))
     return F.transform(pairs, lambda p: F.struct(F.split(p, " ")[0].cast("double").alias("x"), F.split(p, " ")[1].cast("double").alias("y")))
+
+
+def extent(vertices: Column) -> Column:
+    """struct<x0, y0, x1, y1> of an array<struct<x, y>>; nulls if it is empty."""
+    xs, ys = F.transform(vertices, lambda v: v["x"]), F.transform(vertices, lambda v: v["y"])
+    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirmesh.constants import STAGES, STATUSES
+from weirmesh.constants import STAGES, STATUSES, TERMINAL_STATUSES
 
 
 def validate(stage: str | None = None, status: str | None = None) -> None:
@@ -67,6 +67,11 @@ def match_by_prefix(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
     return outputs.join(first, "name", "left")
 
 
+def terminal(progress: DataFrame, lasting: tuple[str, ...] = TERMINAL_STATUSES) -> DataFrame:
+    """Entries that no later run takes up again; errors aren't among them."""
+    return progress.filter(F.col("status").isin(*lasting))
+
+
 def remaining(work: DataFrame, progress: DataFrame, key: str = "key", limit: int | None = None) -> DataFrame:
     """Work without a terminal entry in progress; a limit applies after that."""
     left = work.join(progress.select(key), key, "left_anti")
@@ -78,7 +83,7 @@ def chunk_assign(df: DataFrame, key: str, size: int, buckets: int = 256) -> Data
 
     Only the buckets are numbered as a whole, so no task sorts all rows.
     """
-    at = df.withColumn("_b", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4), 16, 10).cast("long") % buckets)
+    at = df.withColumn("_b", F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % buckets)
     counts = at.groupBy("_b").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_o", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")  # one row for each bucket
     w = Window.partitionBy("_b").orderBy(key)

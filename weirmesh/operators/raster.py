@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirmesh.constants import STEP_ACCUM, STEP_DOWN, STEP_RATIO, STEP_UP, STEP_WINDOW
+from weirmesh.constants import BOX_LEAST_AREA, BOX_MOST_OF_FRAME, BOX_REACH, STEP_ACCUM, STEP_DOWN, STEP_RATIO, STEP_UP, STEP_WINDOW
 from weirmesh.operators.components import connected_components
 
 #: Fixed value: the eight neighbours, in the order that settles ties of the steepest descent.
@@ -53,6 +53,18 @@ def mask_components(cells: DataFrame, width: int = 1 << 20) -> DataFrame:
     )
 
 
+def near_centre_box(components: DataFrame, height: int, width: int, least: int = BOX_LEAST_AREA, reach: float = BOX_REACH, most: float = BOX_MOST_OF_FRAME) -> DataFrame:
+    """Box x0, y0, x1, y1 (ends excluded) of the largest of mask_components whose centroid lies near
+    the frame's centre; ties go to the first in row order. No row if none qualifies, or if the
+    chosen one's box fills nearly the whole frame, which tells of a bad crop, not of large water.
+    """
+    off = F.hypot(F.col("col_mean") - width / 2, F.col("row_mean") - height / 2)
+    fit = components.filter((F.col("area") >= least) & (off <= min(height, width) * reach))
+    best = fit.agg(F.max_by(F.struct(*fit.columns), F.struct("area", -F.col("component"))).alias("m")).select("m.*")
+    box = best.select(F.col("col0").alias("x0"), F.col("row0").alias("y0"), (F.col("col1") + 1).alias("x1"), (F.col("row1") + 1).alias("y1"), "area")
+    return box.filter((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) <= most * height * width)
+
+
 def dilate(cells: DataFrame, reach: int, height: int, width: int) -> DataFrame:
     """cells(row, col) and all within reach on either axis, inside a frame of height x width."""
     out = cells.select("row", "col").distinct()

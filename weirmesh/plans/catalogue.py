@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirmesh import constants as K
-from weirmesh.functions.geodesy import project
+from weirmesh.functions.geodesy import extent, project, ring_area, ring_centroid, unproject, wkt_vertices
 from weirmesh.operators import fusion, grids, manifest, raster, registry as reg
 from weirmesh.operators.proximity import closest_match, near_line, neighbour_pairs, snap_to_line
 from weirmesh.operators.suppression import first_per_key, greedy_suppress
 from weirmesh.plans import tables as T
+from weirmesh.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _all: dict[str, Query] = {}
@@ -368,3 +369,56 @@ def prefix_match(s, d):
 def spot_check(s, d):
     m = closest_match(T.candidates(s, d), T.registry(s, d), K.MATCH_TOLERANCE)
     return reg.spot_check(m.select("id", "match_status"), "id", "match_status", 20)
+
+
+@query
+def near_centre_box(s, d):
+    return raster.near_centre_box(raster.mask_components(_ndwi(s, d).filter("ndwi > 0.35")), 200, 100, least=3)
+
+
+def _triangles(s, d):
+    k, x, y = F.col("p_partkey"), F.col("x"), F.col("y")
+    p = T.load(s, d, "part").select("p_partkey", "p_size", *T.place(k, T.DENSE))
+    ends = [x, y, x + 3 * F.col("p_size"), y + k % 7, x - k % 11, y + 2 * F.col("p_size"), x, y]
+    return p.select("p_partkey", wkt_vertices(F.format_string("POLYGON ((%d %d, %d %d, %d %d, %d %d))", *ends)).alias("ring"))
+
+
+@query
+def polygon_measures(s, d):
+    t = _triangles(s, d).select("p_partkey", F.round(ring_area(F.col("ring")), 3).alias("area"), ring_centroid(F.col("ring")).alias("c"), extent(F.col("ring")).alias("e"))
+    return t.select("p_partkey", "area", F.round("c.x", 3).alias("x"), F.round("c.y", 3).alias("y"), "e.x0", "e.y0", "e.x1", "e.y1")
+
+
+@query
+def centroid_within(s, d):
+    c = _triangles(s, d).select("p_partkey", ring_centroid(F.col("ring")).alias("c")).select("p_partkey", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+    return c.filter(reg.in_ring("x", "y", T.RING)).select("p_partkey")
+
+
+@query
+def imagery_window(s, d):
+    day = F.col("o_orderdate").cast("date")
+    o = T.load(s, d, "orders").filter((day >= F.lit("1995-01-01").cast("date")) & (day < F.lit("1997-01-01").cast("date")) & (F.col("o_orderkey") % 100 < 20))
+    return o.withColumn("cell", F.col("o_custkey") % 50).groupBy("cell").agg(F.count("*").alias("images"), F.round(F.median("o_totalprice"), 3).alias("composite"))
+
+
+@query
+def geojson_features(s, d):
+    c = T.candidates(s, d).select("id", "layer", F.when(F.col("id") % 2 == 0, F.col("x")).alias("lon"), F.format_string('{"type":"Point","coordinates":[%d,%d]}', "x", "y").alias("g"))
+    f = files.from_features(files.feature_collection(c, "g", "id"), "id long, layer string, lon long")
+    at = F.from_json("coordinates", "array<long>")
+    return f.select("id", "layer", "geometry_type", F.coalesce("lon", at[0]).alias("lon"), at[1].alias("lat"))
+
+
+@query
+def unproject_grid(s, d):
+    c = T.load(s, d, "customer").select("c_custkey", (F.col("c_custkey") % 700 * 1000 + 100000.0).alias("x"), (F.col("c_custkey") % 400 * 1000 + 4000000.0).alias("y"))
+    lon, lat = unproject(F.col("x"), F.col("y"))
+    return c.select("c_custkey", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+@query
+def resume_terminal(s, d):
+    k = _keys(s, d)
+    status = F.element_at(F.array(*map(F.lit, ("OK", "NO_COVERAGE", "mask_error", "ERROR"))), (F.col("id") % 4 + 1).cast("int"))
+    return manifest.remaining(k, manifest.terminal(k.filter("id % 3 = 0").withColumn("status", status)))

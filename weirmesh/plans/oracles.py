@@ -121,6 +121,19 @@ def _project() -> str:
       FROM (SELECT c_custkey, lam, sinh(atanh(sin(phi)) - {e}*atanh({e}*sin(phi))) AS t FROM (SELECT c_custkey, radians(c_custkey % 500 / 100 - 8 + 3) AS lam, radians(c_custkey % 300 / 100 + 36) AS phi FROM customer)))"""
 
 
+def _unproject() -> str:
+    r = repr(G.SCALE * G._RADIUS)
+    xi1 = " - ".join(["xi"] + [f"({b!r})*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, b in enumerate(G._BETA, 1)])
+    eta1 = " - ".join(["eta"] + [f"({b!r})*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, b in enumerate(G._BETA, 1)])
+    phi = " + ".join(["chi"] + [f"({d!r})*sin({2 * j}*chi)" for j, d in enumerate(G._DELTA, 1)])
+    return f"""SELECT c_custkey, round(-3 + degrees(atan2(sinh(eta1), cos(xi1))), 7) AS lon, round(degrees({phi}), 7) AS lat FROM (SELECT *, asin(sin(xi1)/cosh(eta1)) AS chi FROM (SELECT c_custkey, {xi1} AS xi1, {eta1} AS eta1
+      FROM (SELECT c_custkey, (c_custkey % 400 * 1000 + 4000000)/{r} AS xi, (c_custkey % 700 * 1000 + 100000 - 500000)/{r} AS eta FROM customer)))"""
+
+
+_TRI = f"SELECT p_partkey, x AS px, y AS py, x + 3*p_size AS qx, y + p_partkey % 7 AS qy, x - p_partkey % 11 AS rx, y + 2*p_size AS ry FROM (SELECT p_partkey, p_size, {_xy('p_partkey', DENSE)} FROM part)"
+_TRI = f"SELECT *, abs((qx-px)*(ry-py) - (rx-px)*(qy-py)) / 2 AS area FROM ({_TRI})"
+
+
 def _square(of: str, reach: int, grow: bool) -> str:
     """Cells that some square of reach around a cell of a table covers, or that such squares cover fully."""
     area = f"(least(row + {reach}, 199) - greatest(row - {reach}, 0) + 1) * (least(col + {reach}, 99) - greatest(col - {reach}, 0) + 1)"
@@ -200,4 +213,16 @@ def all_oracles() -> dict[str, str]:
         "prefix_match": "WITH o AS (SELECT concat('tile_', o_custkey, '_', o_orderkey) AS name, concat('tile_', o_custkey) AS stem FROM orders) SELECT name, t.stem FROM o LEFT JOIN (SELECT concat('tile_', c_custkey) AS stem FROM customer WHERE c_custkey % 3 > 0) t USING (stem)",
         "spot_check": f"""WITH cand AS ({_CAND}), reg AS ({sparse}), mt AS ({_match('cand', 'reg')}), f AS (SELECT c.id, {_MATCHED} AS match_status FROM cand c LEFT JOIN mt USING (id))
           SELECT id, match_status, count(*) OVER (PARTITION BY match_status) AS group_size FROM f QUALIFY row_number() OVER (PARTITION BY match_status ORDER BY md5(concat(id, '|42')), id) <= 20""",
+        "near_centre_box": f"""WITH RECURSIVE c AS (SELECT row, col, row*1048576 + col AS id FROM ({_NDWI}) WHERE ndwi > 0.35), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND a.id <> b.id),
+          reach AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id), m AS (SELECT id, min(root) AS component FROM reach GROUP BY id),
+          k AS (SELECT component, count(*) AS area, min(row) AS y0, max(row) + 1 AS y1, min(col) AS x0, max(col) + 1 AS x1 FROM c JOIN m USING (id) GROUP BY component
+            HAVING count(*) >= 3 AND (avg(row) - 100)*(avg(row) - 100) + (avg(col) - 50)*(avg(col) - 50) <= 35*35 ORDER BY area DESC, component LIMIT 1)
+          SELECT x0, y0, x1, y1, area FROM k WHERE (x1-x0)*(y1-y0) <= 0.85*200*100""",
+        "polygon_measures": f"""SELECT p_partkey, CAST(area AS DOUBLE) AS area, round(CASE WHEN area > 0 THEN (px+qx+rx)/3 END, 3) AS x, round(CASE WHEN area > 0 THEN (py+qy+ry)/3 END, 3) AS y,
+          CAST(least(px, qx, rx) AS DOUBLE) AS x0, CAST(least(py, qy, ry) AS DOUBLE) AS y0, CAST(greatest(px, qx, rx) AS DOUBLE) AS x1, CAST(greatest(py, qy, ry) AS DOUBLE) AS y1 FROM ({_TRI})""",
+        "centroid_within": f"SELECT p_partkey FROM (SELECT p_partkey, round((px+qx+rx)/3, 6) AS x, round((py+qy+ry)/3, 6) AS y FROM ({_TRI}) WHERE area > 0) WHERE {_ring()}",
+        "imagery_window": "SELECT o_custkey % 50 AS cell, count(*) AS images, round(median(o_totalprice), 3) AS composite FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1997-01-01' AND o_orderkey % 100 < 20 GROUP BY 1",
+        "geojson_features": f"SELECT id, layer, 'Point' AS geometry_type, x AS lon, y AS lat FROM ({_CAND})",
+        "unproject_grid": _unproject(),
+        "resume_terminal": f"SELECT key, id FROM ({_KEYS}) WHERE key NOT IN (SELECT key FROM ({_KEYS}) WHERE id % 3 = 0 AND id % 4 < 3)",
     }

@@ -55,6 +55,13 @@ def feature_collection(df: DataFrame, geometry_json: str, key: str) -> DataFrame
     return df.select(key, F.concat(head, F.to_json(F.struct(*props)), F.lit("}")).alias("feature"))
 
 
+def from_features(lines: DataFrame, properties: str, feature: str = "feature") -> DataFrame:
+    """Properties, geometry_type and coordinates (JSON text) of GeoJSON feature texts; what isn't one is all null."""
+    schema = f"struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: string>>"
+    f = lines.select(F.from_json(feature, schema).alias("f"))
+    return f.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
 def file_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path and length of files, without reading them."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length")
