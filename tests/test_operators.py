@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weirmesh.functions import geodesy
 from weirmesh.operators import fusion, manifest, raster, registry
 from weirmesh.operators.components import connected_components
-from weirmesh.operators.proximity import closest_match, neighbour_pairs
+from weirmesh.operators.proximity import closest_match, neighbour_pairs, snap_to_line
 from weirmesh.operators.suppression import greedy_suppress
 from weirmesh.sources import files
 from weirmesh.sources.connectors import register
@@ -208,3 +208,11 @@ def test_measures_of_rings(spark):
     assert [r["a"] for r in got] == [8.0, 0.0, 0.0, None]
     assert tuple(got[0]["c"]) == (2.0, 1.0) and tuple(got[0]["e"]) == (0.0, 0.0, 4.0, 2.0)
     assert got[1]["c"]["x"] is None and tuple(got[2]["e"]) == (None,) * 4
+
+
+def test_snapping_has_no_radius(spark):
+    lines = spark.createDataFrame([(1, 0, 0, 100, 0), (2, 0, 50, 100, 50)], "line_id long, x1 long, y1 long, x2 long, y2 long")
+    pts = spark.createDataFrame([(1, 10, 5), (2, 10, 30), (3, 10, 25), (4, 9000, -7000), (5, None, 3)], "id long, x long, y long")
+    got = {r["id"]: (r["line_id"], r["snap_x"], r["snap_y"]) for r in snap_to_line(pts, lines, cell_size=8).collect()}
+    assert got == {1: (1, 10.0, 0.0), 2: (2, 10.0, 50.0), 3: (1, 10.0, 0.0), 4: (1, 100.0, 0.0)}
+    assert snap_to_line(pts, lines.limit(0)).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirmesh.plans.staging import stage_table
+
 
 def cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(size)).cast("long")
@@ -94,11 +96,13 @@ def near_line(points: DataFrame, segments: DataFrame, radius: int) -> DataFrame:
 
 
 def snap_to_line(points: DataFrame, segments: DataFrame, cell_size: int = 500) -> DataFrame:
-    """Each point's nearest position on any segment, without a radius.
+    """Each point's nearest position on any segment, without a radius; points without x or y go.
 
     Rings of cells widen fourfold until every point is settled: a hit within the ring's radius
-    is final. What the last ring, as wide as the whole extent, finds is final too.
+    is final. What the last ring, as wide as the whole extent, finds is final too. Each ring's finds
+    are written, so that a wider one doesn't search the narrower ones again.
     """
+    points = points.filter("x is not null and y is not null")
     spread = points.select("x", "y").unionByName(segments.select(F.col("x1").alias("x"), F.col("y1").alias("y"))).agg(
         F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 0
     extent, radius, left, done = 4 * int(spread) + cell_size, cell_size, points, None
@@ -108,10 +112,11 @@ def snap_to_line(points: DataFrame, segments: DataFrame, cell_size: int = 500) -
         best = hit.filter(F.col("d2") <= float(radius) ** 2).groupBy("id").agg(
             F.min(F.struct(F.round("d2", 6).alias("d2"), "line_id", (F.col("x1") + segment_t("x", "y") * (F.col("x2") - F.col("x1"))).alias("sx"),
                            (F.col("y1") + segment_t("x", "y") * (F.col("y2") - F.col("y1"))).alias("sy"))).alias("m"))
-        found = points.join(best, "id").select("id", "x", "y", F.col("m.line_id").alias("line_id"), F.col("m.sx").alias("snap_x"), F.col("m.sy").alias("snap_y"))
+        found = left.join(best, "id").select("id", "x", "y", F.col("m.line_id").alias("line_id"), F.col("m.sx").alias("snap_x"), F.col("m.sy").alias("snap_y"))
+        found = stage_table(found, "snapped")
         done = found if done is None else done.unionByName(found)
         if radius >= extent:
             return done
-        left, radius = left.join(best.select("id"), "id", "left_anti"), radius * 4
+        left, radius = left.join(found.select("id"), "id", "left_anti"), radius * 4
         if left.isEmpty():
             return done
