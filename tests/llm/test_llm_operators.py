@@ -357,6 +357,28 @@ def test_licences(spark, sf):
     assert sorted(map(tuple, catalogue.op9_license_scan(spark, sf).collect()), key=key) == sorted(want, key=key)
 
 
+def test_licence_passages(spark, sf):
+    texts = license_scan.held_texts()
+    wrap = lambda t: "\n".join("# " + t[i : i + 90] for i in range(0, len(t), 90))
+    assert {"BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(texts)
+    rows = [(k, f"The {k} License\n\nCopyright (c) 2020 Someone\n\n{v}\n\nand more") for k, v in texts.items()]
+    rows += [("flat", " ".join(texts["GPL-3.0"].split())), ("two", f"a\n{texts['MIT notice']}\nb\n" + wrap(texts["CC-BY-NC-4.0 notice"])), ("no", texts["MIT"].replace("conditions", "terms")), ("none", None), ("none", "")]
+    # a wrapped line of the terms that begins with the word copyright is no copyright line
+    rows.append(("wrapped", texts["BSD-2-Clause"].replace("SHALL THE COPYRIGHT", "SHALL THE\nCOPYRIGHT")))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id string, text string, licenses string")
+    got = {r.doc_id: r.licenses for r in license_scan.passages(df).collect()}
+    more = {"flat": "GPL-3.0", "two": "CC-BY-NC-4.0 notice, MIT notice", "no": None, "none": None, "wrapped": "BSD-2-Clause"}
+    assert got == {k: k for k in texts} | more and license_scan.passages(df).count() == len(rows)
+    assert license_scan.passages(df.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    out = catalogue.op9_license_passages(spark, sf).collect()
+    want = con.execute("select doc_id, n_licenses, licenses from (" + license_scan.passages_sql() + ")").fetchall()
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+    held = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if set((r.text or "").split("\n")) & set(license_scan.KNOWN.values())]
+    assert held and set(held) <= {r.doc_id for r in out if r.n_licenses}
+
+
 def test_decontamination(spark):
     r = random.Random(9)
     item = [f"b{r.randrange(10**6)}" for _ in range(30)]

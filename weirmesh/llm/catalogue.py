@@ -58,6 +58,10 @@ def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf, "documents"))
 
 
+def op9_license_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.passages(_table(spark, sf, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, _table(spark, sf, "benchmark"))
@@ -71,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op7_mixing": mixing.SQL, "op9_license_scan": license_scan.sql()} | more
+    return {"op7_mixing": mixing.SQL, "op9_license_scan": license_scan.sql(), "op9_license_passages": license_scan.passages_sql()} | more

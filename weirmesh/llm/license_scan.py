@@ -1,7 +1,13 @@
-"""Texts that are a known licence, by digest of their canonical form."""
+"""Texts that are a known licence, by digest of their canonical form, and texts that hold one.
+
+A text holds a licence if all words of its terms stand in it one after another, whatever comes
+before and after and however the lines are broken.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +54,22 @@ COPYRIGHT = r"(^|\n)[ \t#/*;]*(copyright|©|\(c\)|all rights reserved)[^\n]*"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
-def canonical(text: Column) -> Column:
+#: Copyright lines alone; a wrapped line of the terms may begin with the word as well.
+NOTICES = r"(^|\n)[ \t#/*;]*(copyright[ \t]+(\(c\)|©|[0-9<\[])|©|\(c\)[ \t]*[0-9]|all rights reserved)[^\n]*"
+BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def held_texts() -> dict[str, str]:
+    """KNOWN, BSD-3-Clause and the terms, without preamble and appendix, in the folder licenses."""
+    head, tail = KNOWN["BSD-2-Clause"].rsplit("\n\n", 1)
+    files = sorted(Path(__file__).with_name("licenses").glob("*.txt"))
+    return KNOWN | {"BSD-3-Clause": f"{head}\n\n{BSD_3}\n\n{tail}"} | {f.stem: f.read_text() for f in files}
+
+
+def canonical(text: Column, dropped: str = COPYRIGHT) -> Column:
     """Lower case A-Z, no copyright lines, punctuation as single spaces, one spelling of each word."""
     t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, COPYRIGHT, ""), OTHER, " "))
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, dropped, ""), OTHER, " "))
     for a, b in SPELLINGS.items():
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
@@ -75,6 +93,22 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return rows.join(table, "digest", "left").select("doc_id", "digest", "license")
 
 
+def passages(docs: DataFrame, held: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_licenses and licenses (names by comma, in order; null if none) for every row of docs(doc_id, text, ..).
+
+    Whole texts are passages too. held is a fixed table of some known texts, each looked for in
+    every document; held_texts() by default.
+    """
+    held = held_texts() if held is None else held
+    spark = docs.sparkSession
+    rows = spark.createDataFrame(list(held.items()), "license string, text string")
+    words = sorted(tuple(r) for r in rows.select("license", canonical(F.col("text"), NOTICES)).collect())  # a row for each known text
+    t = docs.select("doc_id", F.concat(F.lit(" "), canonical(F.col("text"), NOTICES), F.lit(" ")).alias("t"))
+    found = F.array(*[F.when(F.contains("t", F.lit(f" {w} ")), F.lit(k)) for k, w in words if w])
+    t = t.select("doc_id", F.array_compact(found).alias("l"))
+    return t.select("doc_id", F.size("l").cast("long").alias("n_licenses"), F.when(F.size("l") > 0, F.array_join("l", ", ")).alias("licenses"))
+
+
 def _sql_canonical(text: str) -> str:
     t = f"trim(regexp_replace(regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{COPYRIGHT}', '', 'g'), '{OTHER}', ' ', 'g'))"
     for a, b in SPELLINGS.items():
@@ -87,3 +121,12 @@ def sql() -> str:
     return f"""WITH k AS (SELECT md5({_sql_canonical("body")}) AS digest, min(license) AS license FROM (VALUES {values}) t(license, body) GROUP BY 1),
   d AS (SELECT doc_id, md5({_sql_canonical("text")}) AS digest FROM documents)
   SELECT doc_id, d.digest, license FROM d LEFT JOIN k USING (digest)"""
+
+
+def passages_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in held_texts().items())
+    of = lambda c: _sql_canonical(c).replace(COPYRIGHT, NOTICES)
+    return f"""WITH k AS (SELECT license, ' ' || {of("body")} || ' ' AS w FROM (VALUES {values}) t(license, body)),
+  d AS (SELECT row_number() OVER () AS i, doc_id, ' ' || {of("text")} || ' ' AS t FROM documents)
+  SELECT doc_id, count(license) AS n_licenses, string_agg(license, ', ' ORDER BY license) AS licenses
+  FROM d LEFT JOIN k ON contains(t, w) GROUP BY i, doc_id"""
