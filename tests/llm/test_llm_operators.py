@@ -312,6 +312,18 @@ def test_automaton_equals_edit_distance():
         assert (found[0] if found else None) == (best if best <= 1 else None), w
 
 
+def test_misspelled_terms_under_a_stem():
+    r, forms = random.Random(3), ["idiot", "idiots", "idiotic", "idiotically"]
+    noise = lambda: "".join(r.choice("klmnopqrstuvw") for _ in range(7))
+    texts = [f"{noise()} {noise()} {w} {noise()}" for w in forms for _ in range(40)]
+    toxic = np.array([True] * len(texts) + [False] * 600)
+    terms, stems = toxicity.learn_terms(texts + [" ".join(noise() for _ in range(4)) for _ in range(600)], toxic)
+    assert stems == ["idio"] and terms == sorted(forms)
+    words = ["idiot", "idiotisch", "idoit", "ediot", "1diot", "idoitic", "ediotically", "edition", "idol"]
+    got = toxicity.Matcher(toxicity.Model(terms, stems))(toxicity._Fold(pa.array([" ".join(words)], pa.string())))
+    assert got.tolist() == [2, 2, 1, 1, 1, 1, 1, 0, 0]
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

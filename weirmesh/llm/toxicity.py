@@ -233,7 +233,7 @@ def learn_terms(texts: list[str], toxic: np.ndarray, contexts: int = CONTEXTS) -
     often = {s: sum(ws.values()) for s, ws in begin.items() if len(ws) >= 4}
     stems = {s for s, n in often.items() if n >= 2 * least and 20 * (clean_stems[s] + clean[s]) <= n and 2 * max(begin[s].values()) <= n}
     stems = {s for s in stems if not any(s[:k] in stems for k in range(4, len(s)))}
-    return sorted(w for w in terms if not any(w[:k] in stems for k in (4, 5, 6))), sorted(stems)
+    return sorted(terms), sorted(stems)  # a term under a stem stays, for its misspellings
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-3) -> list[float]:
