@@ -146,6 +146,19 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == {i: c for i, (_, c) in shingle_groups(made).items()}
 
 
+def test_a_link_that_its_union_sketch_underrates(spark):
+    words = sorted((f"t{i}" for i in range(1000)), key=lambda w: tx.shingles(tx.Words(pa.array([w])).text(0), 1)[0])
+    only = {i * 256 // 68 for i in range(68)} | set(range(918, 1000))  # 68 of the union's 256 smallest, 38 by chance
+    few = [w for i, w in enumerate(words) if i not in only]
+    a, b = (tx.shingles(tx.Words(pa.array([" ".join(x)])).text(0), 1) for x in (words, few))
+    assert len(few) == 850 and near_dedup.jaccard_estimate(a, b, near_dedup.K_FINE) == 188 / 256
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(few))], "doc_id long, text string")
+    assert [x.component_id for x in near_dedup.near_duplicates(df, width=1).collect()] == [1, 1]
+    for k in (near_dedup.K, near_dedup.K_FINE):
+        o = near_dedup.least_overlap(k, 0.85)
+        assert sum(math.comb(k, i) * 0.85**i * 0.15 ** (k - i) for i in range(o)) < near_dedup.MISS
+
+
 def test_near_duplicates_on_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark, [(9, "a b c", "en", "a"), (8, "A B C", "en", "a"), (7, "a b", "en", "a")])).collect()
     by = {}

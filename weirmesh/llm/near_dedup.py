@@ -63,7 +63,7 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
 
 def _verify(width: int, percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = percent / 100 - 4.5 * math.sqrt(percent / 100 * (1 - percent / 100) / k)
+        floor = least_overlap(k, percent / 100) / k
         last_a, sa = None, None
         for b in tx.pieces(batches, "tb", 4_000_000):
             left = b.column("a").to_pylist()
