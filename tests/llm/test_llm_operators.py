@@ -421,6 +421,18 @@ def test_decontamination(spark):
     assert decontaminate.contamination(df, bench.limit(0)).filter("item_id is not null").count() == 0
 
 
+def test_all_items_of_a_document(spark):
+    r = random.Random(5)
+    items = {i: [f"b{r.randrange(10**6)}" for _ in range(n)] for i, n in ((2, 20), (5, 30), (9, 30))}
+    noise = " ".join(f"z{r.randrange(10**6)}" for _ in range(40))
+    whole = f" {noise} ".join(" ".join(items[i]) for i in (9, 2, 5))
+    df = spark.createDataFrame([(1, f"{whole} {noise} {' '.join(items[9][:15])}"), (2, noise), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 100):
+        got = {x[0]: tuple(x)[1:] for x in decontaminate.contamination(df, bench, block_bytes=block).select("row.doc_id", "item_id", "tokens", "items").collect()}
+        assert got == {1: (5, 30, [(5, 30), (9, 30), (2, 20)]), 2: (None, None, []), 3: (None, None, [])}
+
+
 def test_pipeline_stages(spark, sf, docs, texts):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "repeated_passages", "benchmark_leaks", "mixture"]
     df, seen = docs, []

@@ -65,7 +65,7 @@ def op9_license_passages(spark: SparkSession, sf: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, _table(spark, sf, "benchmark"))
-    return found.select("row.doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return found.select("row.doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", F.coalesce("tokens", F.lit(0)).alias("tokens"), "items")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -61,12 +61,20 @@ class Benchmark:
         self.item = np.repeat(np.arange(len(ids)), self.words.n)
 
 
+_ITEMS = pa.list_(pa.struct([("item_id", pa.int64()), ("tokens", pa.int64())]))
+
+
+def _best(x: tuple[int | None, int]) -> tuple[bool, int, int]:
+    """Most tokens first, then the smallest id; a null id last."""
+    return x[0] is None, -x[1], x[0] or 0
+
+
 def _search(bench: Benchmark, window: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bench.words
         for batch in tx.pieces(batches, "text"):
             w = _Fold(batch.column("text"))
-            item, tokens = batch.column("item_id").to_pylist(), batch.column("tokens").to_pylist()
+            found = [{x["item_id"]: x["tokens"] for x in xs} for xs in batch.column("items").to_pylist()]
             doc = np.repeat(np.arange(len(w.n)), w.n)
             seen = []
             for k, m in enumerate(MASKS):
@@ -80,33 +88,36 @@ def _search(bench: Benchmark, window: int, share: float):
             for d, t, shift in np.unique(np.concatenate(seen), axis=0) if seen else ():
                 lo, hi = max(b.at[t], w.at[d] - shift), min(b.at[t + 1], w.at[d + 1] - shift)
                 need = min(window, int(b.n[t]))
-                if hi - lo < need:
+                if hi - lo < need or found[d].get(bench.ids[t], 0) >= hi - lo:
                     continue
                 same = w.hash[lo + shift : hi + shift] == b.hash[lo:hi]
                 total = np.concatenate([[0], np.cumsum(same)])
-                if (total[need:] - total[:-need]).max() >= share * need and (tokens[d] or 0) < total[-1]:
-                    item[d], tokens[d] = bench.ids[t], int(total[-1])
-            cols = [batch.column(c) for c in batch.schema.names if c not in ("item_id", "tokens")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(item, pa.int64()), pa.array(tokens, pa.int64())], batch.schema.names)
+                if (total[need:] - total[:-need]).max() >= share * need:
+                    found[d][bench.ids[t]] = max(found[d].get(bench.ids[t], 0), int(total[-1]))
+            items = [[{"item_id": i, "tokens": n} for i, n in sorted(f.items(), key=_best)] for f in found]
+            cols = [batch.column(c) for c in batch.schema.names if c != "items"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(items, _ITEMS)], batch.schema.names)
 
     return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row (all columns of docs as a struct), item_id and tokens for every row of docs(text, ..).
+    """row (all columns of docs as a struct), item_id, tokens and items for every row of docs(text, ..).
 
-    item_id is the benchmark item that most tokens of the document agree with along one alignment,
-    among those where window consecutive tokens (the whole item if it has fewer) agree in a share
-    of at least share; null without one. Ties go to the item met first in order of id. Null or empty
+    items has (item_id, tokens) of every benchmark item where window consecutive tokens (the whole
+    item if it has fewer) agree in a share of at least share along one alignment; tokens is how many
+    agree along the best alignment. item_id and tokens are those of the item with most tokens, ties
+    going to the smallest id; null without one. Null or empty
     texts and items match nothing; items shorter than the shortest mask are found only as part of
     no hit, so never. A benchmark beyond block_bytes is taken in several broadcasts of that size.
     """
     items = benchmark.filter("text is not null").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(F.struct(*docs.columns).alias("row"), "text", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("tokens"))
+    out = docs.select(F.struct(*docs.columns).alias("row"), "text", F.array().cast("array<struct<item_id:bigint,tokens:bigint>>").alias("items"))
     schema = out.schema
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # at most about block_bytes
         out = out.mapInArrow(_search(Benchmark([r[0] for r in rows], [r[1] for r in rows]), window, share), schema)
-    return out.select("row", "item_id", "tokens")
+    best = F.get("items", F.lit(0))
+    return out.select("row", best["item_id"].alias("item_id"), best["tokens"].alias("tokens"), "items")
