@@ -1,6 +1,7 @@
 """The text operators against brute force, and on nulls, empty and odd input."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -433,6 +434,22 @@ def test_all_items_of_a_document(spark):
         assert got == {1: (5, 30, [(5, 30), (9, 30), (2, 20)]), 2: (None, None, []), 3: (None, None, [])}
 
 
+def test_short_items_with_every_substitution(spark):
+    r = random.Random(7)
+    items = {n: [f"s{r.randrange(10**6)}" for _ in range(n)] for n in range(1, 14)}
+    rows, want = [(0, " ".join(f"z{i}" for i in range(30)))], {0: []}
+    for n, item in items.items():
+        for m in range(4):
+            for out in itertools.combinations(range(n), m):
+                w = ["other" if i in out else x for i, x in enumerate(item)]
+                want[len(rows)] = [(n, n - m)] if n - m >= decontaminate.SHARE * n else []
+                rows.append((len(rows), " ".join(["a", "b", *w, "c"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = {x.doc_id: list(map(tuple, x["items"])) for x in decontaminate.contamination(df, bench).select("row.doc_id", "items").collect()}
+    assert got == want
+
+
 def test_pipeline_stages(spark, sf, docs, texts):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "repeated_passages", "benchmark_leaks", "mixture"]
     df, seen = docs, []

@@ -3,11 +3,14 @@
 A seed is a fixed mask over consecutive tokens; the tokens at its zeros are ignored, so a hit
 survives substitutions there. Hashes of the benchmark under all masks meet those of every
 document; each hit fixes an alignment, along which a window tolerant of substitutions is verified.
+Items shorter than the window get masks made for their length, one of which fits any substitutions
+that the share allows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,20 @@ class _Fold(tx.Words):
         self.n = np.diff(self.at)
 
 
+def short_masks(n: int, share: float) -> list[str]:
+    """Masks over all of n tokens; whichever tokens may differ at that share, one ignores them all.
+
+    So many tokens lie in as many of the blocks at most, and every choice of that many is ignored.
+    """
+    differ = sum(n - m >= share * n for m in range(1, n))
+    blocks = np.array_split(np.arange(n), min(differ + 2, n))
+    masks = []
+    for ignored in combinations(blocks, differ):
+        zero = {int(i) for b in ignored for i in b}
+        masks.append("".join("0" if i in zero else "1" for i in range(n)))
+    return masks
+
+
 def _seeds(w: tx.Words, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes under a mask and the word positions they start at; none crosses a text."""
     at = [i for i, c in enumerate(mask) if c == "1"]
@@ -49,12 +66,19 @@ def _seeds(w: tx.Words, mask: str, number: int) -> tuple[np.ndarray, np.ndarray]
 
 
 class Benchmark:
-    """Sorted seed hashes of some items, with their positions."""
+    """Sorted seed hashes of some items, with their positions, and the masks they were made with."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[int], texts: list[str], window: int, share: float) -> None:
         self.words = _Fold(pa.array(texts, pa.string()))
         self.ids = ids
-        parts = [_seeds(self.words, m, k) for k, m in enumerate(MASKS)]
+        n = np.repeat(self.words.n, self.words.n)  # tokens of the item that a token is in
+        self.masks = [(m, window, True) for m in MASKS]
+        self.masks += [(m, int(k), False) for k in np.unique(n[n < window]) for m in short_masks(int(k), share)]
+        parts = []
+        for k, (m, size, more) in enumerate(self.masks):
+            h, pos = _seeds(self.words, m, k)
+            own = n[pos] >= size if more else n[pos] == size
+            parts.append((h[own], pos[own]))
         h, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         self.hash, self.pos = h[order], pos[order]
@@ -77,7 +101,7 @@ def _search(bench: Benchmark, window: int, share: float):
             found = [{x["item_id"]: x["tokens"] for x in xs} for xs in batch.column("items").to_pylist()]
             doc = np.repeat(np.arange(len(w.n)), w.n)
             seen = []
-            for k, m in enumerate(MASKS):
+            for k, (m, _, _) in enumerate(bench.masks):
                 h, pos = _seeds(w, m, k)
                 lo, hi = np.searchsorted(bench.hash, h, side="left"), np.searchsorted(bench.hash, h, side="right")
                 n = hi - lo
@@ -108,8 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     item if it has fewer) agree in a share of at least share along one alignment; tokens is how many
     agree along the best alignment. item_id and tokens are those of the item with most tokens, ties
     going to the smallest id; null without one. Null or empty
-    texts and items match nothing; items shorter than the shortest mask are found only as part of
-    no hit, so never. A benchmark beyond block_bytes is taken in several broadcasts of that size.
+    texts and items match nothing. A benchmark beyond block_bytes is taken in several broadcasts of that size.
     """
     items = benchmark.filter("text is not null").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -118,6 +141,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     schema = out.schema
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # at most about block_bytes
-        out = out.mapInArrow(_search(Benchmark([r[0] for r in rows], [r[1] for r in rows]), window, share), schema)
+        out = out.mapInArrow(_search(Benchmark([r[0] for r in rows], [r[1] for r in rows], window, share), window, share), schema)
     best = F.get("items", F.lit(0))
     return out.select("row", best["item_id"].alias("item_id"), best["tokens"].alias("tokens"), "items")
