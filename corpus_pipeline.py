@@ -18,10 +18,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, and one row of each doc_id."""
-    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Keeps one row of each near-duplicate group, and one of those whose doc_id and text are equal.
+
+    Rows with one doc_id and texts that are not alike all stay.
+    """
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")]
+    own = F.struct("doc_id", "h")
+    kept = near_dedup.groups(docs).filter(F.col("doc_id").isNotNull() & (F.coalesce("leader", own) == own)).select("doc_id", "h").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *key)
+    one = rows.join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return one.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

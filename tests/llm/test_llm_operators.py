@@ -467,6 +467,22 @@ def test_pipeline_stages(spark, sf, docs, texts):
     assert {r.doc_id for r in last.collect()} <= set(seen[3])
 
 
+def test_texts_that_share_an_id(spark, sf):
+    r = random.Random(12)
+    a, b, c, d = ([f"t{r.randrange(10**6)}" for _ in range(100)] for _ in range(4))
+    near = lambda w: [*w[:-1], "other"]
+    rows = [(5, a), (5, b), (5, b), (5, near(b)), (3, near(c)), (5, c), (7, a), (8, near(b)), (7, d), (6, d), (5, []), (9, [])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    got = sorted((x.doc_id, x.text) for x in corpus_pipeline.near_copies(spark, df, sf).collect())
+    twin = [x for x in got if x in ((5, " ".join(b)), (5, " ".join(near(b))))]
+    assert len(twin) == 1 and sorted(set(got) - set(twin)) == sorted((i, " ".join(w)) for i, w in ((3, near(c)), (5, a), (5, []), (6, d), (9, []))) and len(got) == 6
+    by = {}
+    for x in near_dedup.near_duplicates(df).collect():
+        by.setdefault(x.doc_id, []).append((x.component_id, x.kept))
+    assert by[7] == [(5, False), (6, False)] or by[7] == [(6, False), (5, False)]
+    assert by[8] == [(5, False)] and by[3] == [(3, True)] and sorted(by[5]) == [(3, False)] + [(5, True)] * 5
+
+
 def test_pipeline_on_odd_rows(spark, sf):
     df = odd(spark)
     for _, stage in corpus_pipeline.STAGES:

@@ -40,6 +40,8 @@ def least_overlap(k: int, threshold: float, miss: float = MISS) -> int:
 
 
 def _sketches(k: int, width: int):
+    """The columns beside text, how many shingles there are, a digest of them all and the k smallest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.pieces(batches, "text"):
             w = tx.Words(b.column("text"))
@@ -50,7 +52,8 @@ def _sketches(k: int, width: int):
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sketch.append(s[:k].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketch)]), pa.int32()), pa.array(np.concatenate(sketch), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), tx.binary_column(digest), lists], ["doc_id", "n", "digest", "sketch"])
+            own = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(n, pa.int64()), tx.binary_column(digest), lists], [*own, "n", "digest", "sketch"])
 
     return run
 
@@ -109,28 +112,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of
     width-word shingles (lower-cased A-Z; a shorter text is one shingle). component_id is the
     smallest doc_id that links reach; kept marks the document it names. Null, empty and blank
-    texts have an empty set and are linked with nothing. Rows with the same doc_id count as one
-    document: they share a component and are both kept or both not. A null doc_id is linked with
-    nothing: component_id is null and kept true. Other columns of docs are ignored.
+    texts have an empty set and are linked with nothing. Rows with the same doc_id and different
+    texts are linked each by its own text; alike or not, those that reach no smaller doc_id are
+    kept. A null doc_id is linked with nothing: component_id is null and kept true. Other columns of docs are ignored.
+    """
+    out = groups(docs, percent, width, k, k_fine, hub_rounds)
+    cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("leader.doc_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+
+
+def groups(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fine: int = K_FINE, hub_rounds: int = 3) -> DataFrame:
+    """doc_id, h, n_shingles and leader for every row of docs(doc_id, text, ..), linked as in near_duplicates.
+
+    h is a hash of the text, so that (doc_id, h) tells texts with one doc_id apart. leader is the
+    smallest (doc_id, h) of all rows that links reach; null for an empty set of shingles.
     """
     t = percent / 100
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    s1 = stage_table(docs.mapInArrow(_sketches(k, width), "doc_id long, n long, digest binary, sketch array<long>"), "sketch")
-    classes = s1.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = stage_table(classes, "classes")
-    reps = s1.filter("n > 0").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    few = stage_table(_lists(reps, t, k).select("id").distinct(), "few")
-    texts = stage_table(docs.join(few.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    s1 = stage_table(docs.mapInArrow(_sketches(k, width), "doc_id long, h long, n long, digest binary, sketch array<long>"), "sketch")
+    classes = s1.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("rep"))
+    classes = stage_table(classes.select("digest", "rep.doc_id", "rep.h", F.xxhash64("rep.doc_id", "rep.h").alias("id")), "classes")
+    reps = s1.filter("n > 0").join(classes, ["digest", "doc_id", "h"]).select(F.col("id").alias("doc_id"), "n", "sketch")
+    few = stage_table(classes.join(_lists(reps, t, k).select("id").distinct(), "id").select("id", "doc_id", "h"), "few")
+    texts = docs.join(few, ["doc_id", "h"]).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text")
+    texts = stage_table(texts, "texts")
     # the survivors, mostly apart from shared passages, are told apart by longer sketches
     fine = texts.mapInArrow(_sketches(k_fine, width), "doc_id long, n long, digest binary, sketch array<long>")
     lists = stage_table(_lists(fine.filter("n > 0"), t, k_fine), "lists")
-    links = _links(lists, texts, percent, width, k_fine, hub_rounds)
-    comp = links.select(F.col("id").alias("rep"), "component") if links is not None else classes.select("rep", F.col("rep").alias("component")).limit(0)
-    of = classes.join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    # a doc_id may stand for several classes, each linked by its own smallest id
-    out = s1.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(of, "digest", "left")
-    cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    comp = _links(lists, texts, percent, width, k_fine, hub_rounds)
+    own = F.struct("doc_id", "h")
+    of = classes.select("digest", own.alias("leader"))
+    if comp is not None:
+        first = comp.join(classes, "id").groupBy("component").agg(F.min(own).alias("first"))
+        of = classes.join(comp.join(first, "component").select("id", "first"), "id", "left").select("digest", F.coalesce("first", own).alias("leader"))
+    out = s1.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    return out.join(of, "digest", "left").select("doc_id", "h", "n_shingles", "leader")
 
 
 def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int, hub_rounds: int) -> DataFrame | None:
