@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weirmesh.llm import catalogue, decontaminate, html_extract, langid, language_model, license_scan, mixing, near_dedup, quality, suffix_dedup, toxicity
+from weirmesh.llm import catalogue, decontaminate, html_extract, langid, language_model, license_scan, mixing, near_dedup, pipeline, quality, suffix_dedup, toxicity
 from weirmesh.llm import text as tx
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -473,7 +473,7 @@ def test_texts_that_share_an_id(spark, sf):
     near = lambda w: [*w[:-1], "other"]
     rows = [(5, a), (5, b), (5, b), (5, near(b)), (3, near(c)), (5, c), (7, a), (8, near(b)), (7, d), (6, d), (5, []), (9, [])]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
-    got = sorted((x.doc_id, x.text) for x in corpus_pipeline.near_copies(spark, df, sf).collect())
+    got = sorted((x.doc_id, x.text) for x in pipeline.near_copies(spark, df, sf).collect())
     twin = [x for x in got if x in ((5, " ".join(b)), (5, " ".join(near(b))))]
     assert len(twin) == 1 and sorted(set(got) - set(twin)) == sorted((i, " ".join(w)) for i, w in ((3, near(c)), (5, a), (5, []), (6, d), (9, []))) and len(got) == 6
     by = {}

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from weirmesh.llm import decontaminate, html_extract, langid, language_model, license_scan, mixing, near_dedup, quality, suffix_dedup, toxicity
+from weirmesh.llm import decontaminate, html_extract, langid, language_model, license_scan, mixing, near_dedup, pipeline, quality, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,9 +69,9 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return dict(sorted(ops.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
+    return dict(sorted(ops.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    more = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
     return {"op7_mixing": mixing.SQL, "op9_license_scan": license_scan.sql(), "op9_license_passages": license_scan.passages_sql()} | more

@@ -96,8 +96,8 @@ def _best(x: tuple[int | None, int]) -> tuple[bool, int, int]:
 def _search(bench: Benchmark, window: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bench.words
-        for batch in tx.pieces(batches, "text"):
-            w = _Fold(batch.column("text"))
+        for batch in tx.pieces(batches, "row.text"):
+            w = _Fold(tx.field(batch, "row.text"))
             found = [{x["item_id"]: x["tokens"] for x in xs} for xs in batch.column("items").to_pylist()]
             doc = np.repeat(np.arange(len(w.n)), w.n)
             seen = []
@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     items = benchmark.filter("text is not null").select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(F.struct(*docs.columns).alias("row"), "text", F.array().cast("array<struct<item_id:bigint,tokens:bigint>>").alias("items"))
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.array().cast("array<struct<item_id:bigint,tokens:bigint>>").alias("items"))
     schema = out.schema
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # at most about block_bytes

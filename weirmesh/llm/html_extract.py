@@ -192,8 +192,8 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 def _extract(tree: Tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.pieces(batches, "html"):
-            out = [main_text(x, tree) for x in b.column("html").to_pylist()]
+        for b in tx.pieces(batches, "row.html"):
+            out = [main_text(x, tree) for x in tx.field(b, "row.html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
     return run
@@ -206,5 +206,5 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     and white space inside them made single spaces. Null and empty pages, and pages without such
     blocks, give an empty text. Pages of any length are read whole.
     """
-    rows = pages.select(F.struct(*pages.columns).alias("row"), "html")
+    rows = pages.select(F.struct(*pages.columns).alias("row"))
     return rows.mapInArrow(_extract(tree or labelled_tree()), rows.select("row").schema.add("text", "string"))

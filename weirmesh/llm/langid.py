@@ -126,7 +126,7 @@ def train(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS,
     """
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("doc_id", "lang", "text")
-    count = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    count = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")))  # a row for each class of the network, which the driver holds; texts aren't shuffled
     h = F.xxhash64("doc_id", F.lit(5))
     rate = F.pmod(h, F.lit(1 << 20)) < F.lit((1 << 20) * texts) / F.col("n")
     start = F.lit(1) + F.pmod(F.shiftright(h, 20), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int")
@@ -149,11 +149,11 @@ def train(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS,
 
 def _predict(tables: dict[str, np.ndarray] | None, classes: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.pieces(batches, "text", 4_000_000):
+        for b in tx.pieces(batches, "row.text", 1_000_000):
             n = b.num_rows
             best, score = np.zeros(n, np.int64), np.zeros(n)
             if tables:
-                x, of = windows(*tx.buffers(b.column("text")))
+                x, of = windows(*tx.buffers(tx.field(b, "row.text")))
                 total = np.zeros((n, len(classes)))
                 q = probabilities(tables, x)
                 if len(q):
@@ -174,6 +174,6 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     und with score 0 where the text is null or has no letter, or nothing was learned. Ties between
     languages go to the first by name. Texts of any length are read whole, in windows.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col("text").rlike(r"\p{L}").alias("letter"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").rlike(r"\p{L}").alias("letter"))
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(_predict(net.tables() if net else None, net.classes if net else []), schema)

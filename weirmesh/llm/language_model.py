@@ -287,7 +287,7 @@ def _look(model: Model, name: str, keys: np.ndarray, routes: np.ndarray) -> list
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.pieces(batches, "text", PIECE // 2):
+        for b in tx.pieces(batches, "text", PIECE // 4):
             v, u, n = tokens(b.column("text"))
             word, w_of = np.unique(v, return_inverse=True)
             (count,) = _look(model, "word", word, part_of(word, model.parts))

@@ -68,7 +68,7 @@ def _verify(width: int, percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = least_overlap(k, percent / 100) / k
         last_a, sa = None, None
-        for b in tx.pieces(batches, "tb", 4_000_000):
+        for b in tx.pieces(batches, "tb"):
             left = b.column("a").to_pylist()
             ids = b.column("b").to_pylist()
             w = tx.Words(b.column("tb"))

@@ -24,7 +24,8 @@ from weirmesh.plans.staging import stage_table
 
 LENGTH, RUN = 200, 64
 SHARD_SNIPPETS = 1500  # of one anchor, above which it is dealt to several shards
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 250_000  # of small anchors that share a suffix array; some twenty arrays of that length are alive at once
+SPAN = 250_000  # window starts looked at together; some ten arrays of that length are alive at once
 _POS = np.uint64((1 << 22) - 1)
 
 
@@ -59,7 +60,7 @@ def snippets(data: np.ndarray, off: np.ndarray, length: int = LENGTH, run: int =
     """
     found: list[tuple[np.ndarray, ...]] = []
     run = min(run, length)
-    base, n, span = 0, len(data), 2_000_000
+    base, n, span = 0, len(data), max(SPAN, 4 * length)
     while base + length <= n:
         part = data[base : base + span + length - 1]
         total, q = _sums(part)
@@ -120,7 +121,9 @@ class _Known:
         return self.values[at] == v if len(self.values) else np.zeros(len(v), bool)
 
     def add(self, v: np.ndarray) -> None:
-        self.values = np.union1d(self.values, v) if len(self.values) + len(v) <= REMEMBERED else np.unique(v)
+        """Sorted values that aren't there yet."""
+        full = len(self.values) + len(v) > REMEMBERED
+        self.values = v.copy() if full else np.insert(self.values, np.searchsorted(self.values, v), v)
 
 
 def _occurrences(length: int):
@@ -215,8 +218,8 @@ def _flags(texts: DataFrame, length: int) -> DataFrame:
     flags = stage_table(rows.repartition(to).sortWithinPartitions("anchor", "digest").mapInArrow(_flag, _FLAGS_SQL), "flags")
     cols = ["h1", "h2", "i", "anchor", "digest", "whole", "first"]
     left = flags.filter("open").select("h1", "h2", "i", "anchor", "digest", kind.isin(TWICE, SPREAD_TWICE).alias("twice"))
-    by = left.groupBy("digest").agg((F.count("*") + F.count_if("twice") > 1).alias("whole"), F.min(F.struct("h1", "h2", "i")).alias("f"))
-    late = left.join(by, "digest").withColumn("first", F.col("f") == F.struct("h1", "h2", "i"))
+    by = left.groupBy("anchor", "digest").agg((F.count("*") + F.count_if("twice") > 1).alias("whole"), F.min(F.struct("h1", "h2", "i")).alias("f"))
+    late = left.join(by, ["anchor", "digest"]).withColumn("first", F.col("f") == F.struct("h1", "h2", "i"))
     return flags.filter("not open").select(cols).unionByName(stage_table(late.select(cols), "spread"))
 
 
@@ -388,7 +391,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut_snippets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.pieces(batches, "text", 4_000_000):
+        for b in tx.pieces(batches, "text"):
             data, off = tx.buffers(b.column("text"))
             doc, lo, hi, h, digest = snippets(data, off, length)
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))
@@ -405,7 +408,7 @@ def _apply(length: int, whole_chars: bool):
     character goes if any of its bytes does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.pieces(batches, "text", 4_000_000):
+        for b in tx.pieces(batches, "text"):
             data, off = tx.buffers(b.column("text"))
             doc, lo, hi, _, _ = snippets(data, off, length)
             at = np.searchsorted(doc, np.arange(b.num_rows + 1))

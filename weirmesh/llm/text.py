@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2_000_000  # bytes hashed at once; bounds memory for texts of any length
+BLOCK = 1 << 18  # bytes hashed at once; bounds memory for texts of any length
+PIECE = 2_000_000  # bytes of text that a task works on at once
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,17 +105,27 @@ class Words:
         return self.hash[self.at[i] : self.at[i + 1]]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about size bytes of a string column, at least one row each."""
+def field(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or with a dot in its path a field of a struct column."""
+    name, _, inner = path.partition(".")
+    return batch.column(name).field(inner) if inner else batch.column(name)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about size bytes of a string column, at least one row each.
+
+    What a batch took is given back to the system before the next one comes.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, off = buffers(batch.column(column))
+        _, off = buffers(field(batch, column))
         i = 0
         while i < batch.num_rows:
             j = max(int(np.searchsorted(off, off[i] + size, side="right")) - 1, i + 1)
             yield batch.slice(i, j - i)
             i = j
+        pa.default_memory_pool().release_unused()
 
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:

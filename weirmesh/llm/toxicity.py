@@ -276,8 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, w = Matcher(model), np.array(model.weights)
-        for b in tx.pieces(batches, "text", 4_000_000):
-            p = 1 / (1 + np.exp(-np.clip(features(b.column("text"), matcher) @ w, -30, 30)))
+        for b in tx.pieces(batches, "row.text"):
+            p = 1 / (1 + np.exp(-np.clip(features(tx.field(b, "row.text"), matcher) @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(p)], ["row", "score"])
 
     return run
@@ -288,5 +288,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts have the score of a text without hits. Texts are read whole.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     return rows.mapInArrow(_score(model), rows.select("row").schema.add("score", "double"))
