@@ -1,8 +1,14 @@
 """Hand-computed cases and properties."""
 
+import http.server
+import json
+import math
 import random
 import sqlite3
 import struct
+import threading
+import time
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -13,7 +19,7 @@ from weirmesh.operators import fusion, manifest, raster, registry
 from weirmesh.operators.components import connected_components
 from weirmesh.operators.proximity import closest_match, neighbour_pairs, snap_to_line
 from weirmesh.operators.suppression import greedy_suppress
-from weirmesh.sources import files
+from weirmesh.sources import connectors, files
 from weirmesh.sources.connectors import register
 from weirmesh.streaming.incremental import confirm_stream
 
@@ -124,7 +130,7 @@ def test_failed_rows_are_retried_alone(spark):
 
     work = spark.createDataFrame([("a",), ("bad",), ("c",)], "key string")
     got = {r.key: r.status for r in manifest.score_resumably(work, scorer, "key string, score double, status string", backoff=0.0).collect()}
-    assert got == {"a": "OK", "bad": "ERROR", "c": "OK"}
+    assert got["a"] == got["c"] == "OK" and got["bad"].startswith("ERROR: ")
 
 
 def test_projection_round_trip(spark):
@@ -216,3 +222,167 @@ def test_snapping_has_no_radius(spark):
     got = {r["id"]: (r["line_id"], r["snap_x"], r["snap_y"]) for r in snap_to_line(pts, lines, cell_size=8).collect()}
     assert got == {1: (1, 10.0, 0.0), 2: (2, 10.0, 50.0), 3: (1, 10.0, 0.0), 4: (1, 100.0, 0.0)}
     assert snap_to_line(pts, lines.limit(0)).count() == 0
+
+
+class Pages(http.server.BaseHTTPRequestHandler):
+    """Three layers of 25, 250 and 0 features; the first call of each page of layer b fails, and its
+    pages are shorter than asked for."""
+
+    seen: set = set()
+
+    def do_GET(self):
+        q = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+        n, start, count = {"a": 25, "b": 250, "c": 0}[q["layer"]], int(q["start"]), int(q["count"])
+        if q["layer"] == "b" and self.path not in self.seen:
+            self.seen.add(self.path)
+            self.send_error(503)
+            return
+        most = min(count, 40) if q["layer"] == "b" else count
+        found = [{"id": i} for i in range(start, min(start + most, n))]
+        self.answer({"features": found} | ({"exceededTransferLimit": start + len(found) < n} if q["layer"] == "b" else {}))
+
+    def do_POST(self):
+        asked = self.rfile.read(int(self.headers["Content-Length"])).decode()
+        assert 'node["waterway"="weir"](1,2,3,4);' in asked and "out center" in asked
+        self.answer({"elements": [{"type": "node", "id": 1, "lat": 0.0, "lon": 5.5, "center": {"lat": 7.0, "lon": 1.0}, "tags": {"a": "b"}}, {"type": "way", "id": 2, "center": {"lat": 1.5, "lon": 2.5}}, {"type": "way", "id": 3}]})
+
+    def answer(self, body):
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture(scope="module")
+def service():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_pages_are_read_to_the_end(spark, service):
+    connectors.register(spark)
+    url = service + "/q?layer={layer}&start={start}&count={count}&bbox={bbox}"
+    got = spark.read.format("weirmesh_paged").options(url=url, layers="a,b,c", page="100", delay="0", backoff="0.01").load().collect()
+    ids = {k: sorted(json.loads(r.feature)["id"] for r in got if r.layer == k) for k in "abc"}
+    assert ids == {"a": list(range(25)), "b": list(range(250)), "c": []}
+
+
+def test_overpass_answers(spark, service):
+    connectors.register(spark)
+    e = spark.read.format("weirmesh_overpass").options(url=service, bboxes="1,2,3,4").load()
+    got = sorted((r.source_id, r.lat, r.lon, r.raw_attributes) for r in connectors.overpass_records(e).collect())
+    assert got == [("node/1", 7.0, 5.5, '{"a":"b"}'), ("way/2", 1.5, 2.5, "{}")]
+
+
+def plain_steps(dem, accum, steps=200):
+    """The same rules cell by cell, on an already filled surface."""
+    rows, cols = len(dem), len(dem[0])
+    inside = lambda r, c: 0 <= r < rows and 0 <= c < cols
+
+    def down(r, c):
+        best, where = -math.inf, None
+        for a, b in ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)):
+            if inside(r + a, c + b):
+                drop = (dem[r][c] - dem[r + a][c + b]) / math.sqrt(a * a + b * b)
+                if drop > best:
+                    best, where = drop, (r + a, c + b)
+        return where
+
+    acc = {(r, c): 1 for r in range(rows) for c in range(cols)}
+    for r, c in sorted(acc, key=lambda p: (-dem[p[0]][p[1]], p)):
+        to = down(r, c)
+        if dem[to[0]][to[1]] < dem[r][c]:
+            acc[to] += acc[r, c]
+    seen, found = set(), []
+    for p in sorted(acc):
+        if acc[p] <= accum or p in seen:
+            continue
+        path = [p]
+        while len(path) <= steps and acc[down(*path[-1])] > accum:
+            path.append(down(*path[-1]))
+        seen.update(path)
+        e = [dem[r][c] for r, c in path]
+        for i in range(6, len(e) - 6) if len(e) >= 14 else ():
+            up, low = abs(e[i - 6] - e[i - 1]) / 6, abs(e[i] - e[i + 5]) / 6
+            if up < 0.015 and low > 0.05 and low > 3 * max(up, 1e-6):
+                found.append((*path[i], round(up, 4), round(low, 4), acc[path[i]]))
+    return found
+
+
+def valley(rows=9, cols=60):
+    """A channel along the middle that drops by two metres at column 30."""
+    return [[100 + 2 * abs(r - rows // 2) - 0.001 * c - (2 if c >= 30 else 0) - 0.2 * max(0, min(c - 30, 10)) for c in range(cols)] for r in range(rows)]
+
+
+def test_steps_equal_brute_force(spark):
+    dem = valley()
+    want = plain_steps(dem, 20)
+    assert want and raster.analyze_tile(np.array(dem), 20) == want
+    cells = spark.createDataFrame([(7, r, c, v) for r, row in enumerate(dem) for c, v in enumerate(row)] + [(8, 0, 0, None), (9, None, 1, 2.0)], "tile_id int, row int, col int, elev double")
+    got = sorted(tuple(r) for r in raster.terrain_steps(cells, 20, raster.north_up(1000.0, 500.0, 5.0)).collect())
+    assert [r[1:6] for r in got] == sorted(want) and all(r[0] == 7 and r[6:] == (1000.0 + 5 * r[2], 500.0 - 5 * r[1]) for r in got)
+
+
+def test_a_pit_makes_no_step():
+    flat = [[100 + 2 * abs(r - 4) - 0.001 * c for c in range(60)] for r in range(9)]
+    flat[4][20] -= 3
+    assert raster.analyze_tile(np.array(flat), 20) == plain_steps(raster.fill_depressions(np.array(flat)).tolist(), 20) == []
+
+
+def test_cells_far_out_keep_their_own_id(spark):
+    wide = spark.createDataFrame([(0, 1 << 20), (1, 0), (5, 3)], "row int, col int")
+    assert raster.mask_components(wide).count() == 3
+    with pytest.raises(Exception, match="cell outside the frame"):
+        raster.mask_components(spark.createDataFrame([(0, -1)], "row int, col int")).collect()
+
+
+def test_limits_timeouts_and_causes(spark):
+    def scorer(pdf):
+        if (pdf["key"] == "slow").any():
+            time.sleep(5)
+        if (pdf["key"] == "limited").any():
+            raise manifest.RateLimited("later")
+        return pdf[["key"]].assign(score=1.0)
+
+    work = spark.createDataFrame([("a",), ("slow",), ("limited",)], "key string").coalesce(1)
+    got = {r.key: r.status for r in manifest.score_resumably(work, scorer, "key string, score double, status string", batch=1, attempts=1, rate_limit_delays=(0.0, 0.0), timeout=0.5).collect()}
+    assert got == {"a": "OK", "slow": "ERROR: TimeoutError: no answer within 0.5 s", "limited": "ERROR: RateLimited: later"}
+
+
+def test_the_probe_gates_the_rest(spark):
+    work = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 9.0), (4, None), (None, 1.0)], "id long, cost double")
+    run = lambda bad: lambda d: d.select("id", F.when(F.col("id") == bad, "ERROR: x").otherwise("OK").alias("status"))
+    assert sorted(str(r.id) for r in manifest.probe_then_rest(work, "id", "cost", run(1)).collect()) == ["1", "2", "3", "4", "None"]
+    with pytest.raises(RuntimeError, match="the probe 2 failed"):
+        manifest.probe_then_rest(work, "id", "cost", run(2))
+    assert manifest.probe_then_rest(work.limit(0), "id", "cost", run(2)).count() == 0
+
+
+def test_rows_with_a_file(spark, tmp_path):
+    for n in ("a_1.png", "b.tar.gz"):
+        (tmp_path / n).write_bytes(b"x")
+    rows = spark.createDataFrame([("a/1",), ("b.tar",), ("c",), (None,)], "key string")
+    assert sorted(r.key for r in files.with_file(rows, "key", files.file_listing(spark, str(tmp_path))).collect()) == ["a/1", "b.tar"]
+
+
+def test_pictures_that_fail_are_empty(spark):
+    def url(lon, lat):
+        if lon > 1:
+            raise OSError
+        return f"u{lon}"
+
+    rows = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0)], "lon double, lat double")
+    assert [r[2] for r in fusion.with_thumbnails(rows, url).orderBy("lon").collect()] == ["u1.0", ""]
+    assert {r[2] for r in fusion.with_thumbnails(rows).collect()} == {""}
+
+
+def test_empty_tables_are_written(spark, tmp_path):
+    none = spark.createDataFrame([], "id long, g string")
+    for name, write, read in (("a", files.write_json_array, lambda p: files.read_json_array(spark, p, "id long")), ("g", lambda d, p: files.write_geojson(d, p, "g"), lambda p: files.read_geojson(spark, p, "id long"))):
+        write(none, str(tmp_path / name))
+        assert read(str(tmp_path / name)).count() == 0
+    assert raster.terrain_steps(spark.createDataFrame([], "tile_id int, row int, col int, elev double")).count() == 0

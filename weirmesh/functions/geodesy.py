@@ -66,3 +66,33 @@ def extent(vertices: Column) -> Column:
     """struct<x0, y0, x1, y1> of an array<struct<x, y>>; nulls if it is empty."""
     xs, ys = F.transform(vertices, lambda v: v["x"]), F.transform(vertices, lambda v: v["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+
+def line_centroid(parts: Column) -> Column:
+    """struct<x, y> of lines array<array<struct<x, y>>>, by length; the mean vertex where they have none, null without vertices."""
+    def pieces(line: Column) -> Column:
+        return F.zip_with(line, F.slice(line, 2, F.size(line)), lambda a, b: F.when(b["x"].isNotNull(), F.struct(
+            F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("w"), ((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))))
+
+    return _weighted(F.array_compact(F.flatten(F.transform(parts, pieces))), F.flatten(parts))
+
+
+def polygon_centroid(polygons: Column) -> Column:
+    """struct<x, y> of polygons array<array<ring>>, each an outer ring and its holes; the mean vertex where they have no area."""
+    def rings(p: Column) -> Column:
+        return F.transform(p, lambda r, i: F.struct((ring_area(r) * F.when(i == 0, 1.0).otherwise(-1.0)).alias("w"), ring_centroid(r).alias("c")))
+
+    parts = F.filter(F.flatten(F.transform(polygons, rings)), lambda r: r["w"] != 0)
+    return _weighted(F.transform(parts, lambda r: F.struct(r["w"].alias("w"), r["c"]["x"].alias("x"), r["c"]["y"].alias("y"))), F.flatten(F.flatten(polygons)))
+
+
+def _weighted(parts: Column, vertices: Column) -> Column:
+    total = lambda a, f: F.aggregate(F.transform(a, f), F.lit(0.0), lambda s, v: s + v)
+    n, all_w = F.nullif(F.size(vertices).cast("double"), F.lit(0.0)), F.nullif(total(parts, lambda p: p["w"]), F.lit(0.0))
+    at = lambda c: F.coalesce(total(parts, lambda p: p["w"] * p[c]) / all_w, total(vertices, lambda v: v[c].cast("double")) / n)
+    return F.struct(at("x").alias("x"), at("y").alias("y"))
+
+
+def is_empty(vertices: Column) -> Column:
+    """True for a geometry without vertices, null included."""
+    return F.coalesce(F.size(vertices), F.lit(0)) <= 0

@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     max_rounds don't suffice. Loops and repeated edges are fine; nulls are dropped.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    e, n = stage_table(e, "edges"), 0
+    e, n = stage_table(e, "edges", free=False), 0
     while True:
         before = e
         # large star: the larger neighbours of a vertex move to the smallest vertex around it
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         j = e.join(low, "a")
         e = j.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e, n = stage_table(e, "edges"), n + 1
+        e, n = stage_table(e, "edges", free=False), n + 1
         sums = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first())
         same = sums(before) == sums(e)
         unstage(before)

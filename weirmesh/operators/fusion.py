@@ -4,30 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirmesh.constants import CONFIRMED_CONFIDENCE, FUSION_RADIUS, MATCH_TOLERANCE, OUTPUT_COLUMNS
+from weirmesh.functions.geodesy import ring_centroid
 from weirmesh.operators.components import connected_components
-from weirmesh.operators.proximity import closest_match, neighbour_pairs
+from weirmesh.operators.proximity import closest_match, neighbour_pairs, snap_to_line
+from weirmesh.sources.files import write_csv
 
-#: layer name -> function from that layer's raw table to layer, id, x, y, confidence, source_ref
-LAYER_NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+#: layer name -> function from that layer's raw table and the river network (x1, y1, x2, y2, line_id)
+#: to id, x, y, confidence, source_ref
+LAYER_NORMALIZERS: dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]] = {}
 
 
 def normalizer(layer: str):
-    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    def add(f: Callable[[DataFrame, DataFrame | None], DataFrame]) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
         LAYER_NORMALIZERS[layer] = f
         return f
 
     return add
 
 
-def load_candidates(raw: dict[str, DataFrame]) -> DataFrame:
+@normalizer("layer3_water_signature")
+def water_signature(raw: DataFrame, network: DataFrame | None) -> DataFrame:
+    """raw(id, tile_id, water_frac, ring, x, y): confirmed water areas, each at the point of the nearest
+    river; x, y where they are given, else the centroid of the ring. A large reservoir's centroid lies
+    far from its dam, so without a network this raises."""
+    if network is None:
+        raise ValueError("water areas are placed on a river network")
+    c = ring_centroid(F.col("ring"))
+    at = raw.select("id", "tile_id", "water_frac", F.coalesce(F.col("x").cast("double"), c["x"]).alias("x"), F.coalesce(F.col("y").cast("double"), c["y"]).alias("y"))
+    on = snap_to_line(at, network).select("id", F.col("snap_x").alias("x"), F.col("snap_y").alias("y"))
+    return at.drop("x", "y").join(on, "id").select("id", "x", "y", F.col("water_frac").alias("confidence"), F.col("tile_id").alias("source_ref"))
+
+
+def load_candidates(raw: dict[str, DataFrame], network: DataFrame | None = None) -> DataFrame:
     """All layers by name; unknown layers raise KeyError."""
     out = None
     for layer, df in raw.items():
-        rows = LAYER_NORMALIZERS[layer](df).withColumn("layer", F.lit(layer))
+        rows = LAYER_NORMALIZERS[layer](df, network).withColumn("layer", F.lit(layer))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError("no layers")
@@ -100,3 +117,30 @@ def removed_barriers(registry: DataFrame, candidates: DataFrame, radius: int = M
     rows = registry.select(F.struct("source", "source_id").alias("id"), "x", "y")
     cand = candidates.select(F.lit("").alias("source"), F.col("id").alias("source_id"), "x", "y")
     return closest_match(rows, cand, radius).filter("match_status = 'new'").select("id.source", "id.source_id", "x", "y")
+
+
+def with_thumbnails(df: DataFrame, url: Callable[[float, float], str] | None = None, column: str = "ee_thumbnail_url") -> DataFrame:
+    """Adds a picture's address for lon, lat of each row; empty without url, and where it fails."""
+    if url is None:
+        return df.withColumn(column, F.lit(""))
+
+    @F.pandas_udf("string")
+    def each(lon: pd.Series, lat: pd.Series) -> pd.Series:
+        def one(a: float, b: float) -> str:
+            try:
+                return url(a, b) or ""
+            except Exception:  # a row without a picture is still to be reviewed
+                return ""
+
+        return pd.Series([one(a, b) for a, b in zip(lon, lat, strict=True)], dtype="object")
+
+    return df.withColumn(column, each("lon", "lat"))
+
+
+def write_outputs(fused: DataFrame, folder: str, url: Callable[[float, float], str] | None = None) -> tuple[str, str]:
+    """Both result files as CSV: all records in OUTPUT_COLUMNS, and those to be reviewed, with their pictures."""
+    every, review = f"{folder}/pilot_output", f"{folder}/review_uncertain"
+    write_csv(reindex(fused), every)
+    uncertain = with_thumbnails(fused.filter("match_status = 'new-uncertain'"), url)
+    write_csv(reindex(uncertain, (*OUTPUT_COLUMNS, "ee_thumbnail_url")), review)
+    return every, review

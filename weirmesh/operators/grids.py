@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirmesh.constants import AOI_BUFFER, CHUNK_BUFFER, CHUNK_CORE, TILE_SIZE
+from weirmesh.constants import AOI_BUFFER, CHUNK_BUFFER, CHUNK_CORE, SNAPPED_TILE, TILE_SIZE
+from weirmesh.operators.registry import in_ring
 
 
 def _axis(spark: SparkSession, lo: int, hi: int, size: int, name: str) -> DataFrame:
@@ -89,3 +90,35 @@ def clip_lines(segments: DataFrame, x0: float, y0: float, x1: float, y1: float)
         hi.append(F.coalesce(F.greatest(t1, t2), F.when(inside, 1.0).otherwise(-2.0)))
     out = segments.withColumns({"_a": F.greatest(*lo), "_b": F.least(*hi)}).filter("_a < _b").filter("x1 <> x2 or y1 <> y2")
     return out.withColumns({"x1": F.col("x1") + F.col("_a") * dx, "y1": F.col("y1") + F.col("_a") * dy, "x2": F.col("x1") + F.col("_b") * dx, "y2": F.col("y1") + F.col("_b") * dy}).drop("_a", "_b")
+
+
+def snapped_tiles(segments: DataFrame, size: int = SNAPPED_TILE, buffer: int = AOI_BUFFER, name: str = "tile") -> DataFrame:
+    """Tiles at multiples of size that come within buffer of a line, named by their lower left corner."""
+    s = segments.selectExpr("x1 sx1", "y1 sy1", "x2 sx2", "y2 sy2")
+    span = lambda a, b: F.explode(F.sequence(F.ceil((F.least(a, b) - buffer) / size) - 1, F.floor((F.greatest(a, b) + buffer) / size)))
+    t = s.select("*", span(F.col("sx1"), F.col("sx2")).alias("x0")).select("*", span(F.col("sy1"), F.col("sy2")).alias("y0"))
+    t = t.withColumns({"x0": F.col("x0") * size, "y0": F.col("y0") * size})
+    near = t.withColumns({"x1": F.col("x0") + size, "y1": F.col("y0") + size}).filter(box_segment_d2("x0", "y0", "x1", "y1") <= buffer * buffer)
+    return near.select(F.format_string(f"{name}_%d_%d", "x0", "y0").alias("tile_id"), "x0", "y0", "x1", "y1").distinct()
+
+
+def clip_lines_to_ring(segments: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """The parts of segments(x1, y1, x2, y2, ..) inside a polygon given by its corners; a part for each row.
+
+    A segment is cut where it meets an edge; the pieces whose middle lies inside stay.
+    """
+    edges = list(zip(ring, ring[1:] + ring[:1], strict=True))
+    dx, dy = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
+    cuts = [F.lit(0.0), F.lit(1.0)]
+    for (ax, ay), (bx, by) in edges:
+        ex, ey = float(bx - ax), float(by - ay)
+        qx, qy = F.lit(float(ax)) - F.col("x1"), F.lit(float(ay)) - F.col("y1")
+        across = F.nullif(dx * ey - dy * ex, F.lit(0.0))
+        t, u = (qx * ey - qy * ex) / across, (qx * dy - qy * dx) / across
+        cuts.append(F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t))
+    s = segments.withColumn("_t", F.array_sort(F.array_distinct(F.array_compact(F.array(*cuts)))))
+    ends = F.filter(F.zip_with("_t", F.slice("_t", 2, F.size("_t")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNotNull())
+    s = s.withColumn("_p", F.explode(ends)).withColumn("_m", (F.col("_p.a") + F.col("_p.b")) / 2)
+    s = s.withColumns({"_x": F.col("x1") + F.col("_m") * dx, "_y": F.col("y1") + F.col("_m") * dy}).filter(in_ring("_x", "_y", ring)).filter("x1 <> x2 or y1 <> y2")
+    at = lambda o, d, e: F.col(o) + F.col(f"_p.{e}") * d
+    return s.withColumns({"x1": at("x1", dx, "a"), "y1": at("y1", dy, "a"), "x2": at("x1", dx, "b"), "y2": at("y1", dy, "b")}).drop("_t", "_p", "_m", "_x", "_y")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirmesh.constants import STAGES, STATUSES, TERMINAL_STATUSES
+from weirmesh.constants import RATE_LIMIT_DELAYS, STAGES, STATUSES, TERMINAL_STATUSES
+from weirmesh.sources.files import exists
+
+LOG_SCHEMA = "tile_id long, stage string, status string, seq long"
 
 
 def validate(stage: str | None = None, status: str | None = None) -> None:
@@ -96,33 +100,111 @@ def worst_case(tiles: DataFrame, key: str, cost: str) -> DataFrame:
     return tiles.agg(F.max(F.struct(F.col(cost), -F.col(key))).alias("m")).select((-F.col(f"m.col2")).alias(key), F.col(f"m.{cost}").alias(cost))
 
 
-def score_resumably(work: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 8, attempts: int = 3, backoff: float = 2.0) -> DataFrame:
+def excluding(work: DataFrame, key: str, value) -> DataFrame:
+    """Work without one unit, as the one that was probed; rows without a key stay."""
+    return work.filter(~F.col(key).eqNullSafe(F.lit(value)))
+
+
+def probe_then_rest(work: DataFrame, key: str, cost: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs the most expensive unit first and, only if it comes out with status OK, the others.
+
+    Raises otherwise, before anything else is begun. Without work nothing is run but an empty table.
+    """
+    first = worst_case(work.filter(F.col(key).isNotNull() & F.col(cost).isNotNull()), key, cost).first()  # one row
+    if first is None or first[key] is None:
+        return run(work)
+    probe = run(work.filter(F.col(key) == F.lit(first[key])).limit(1))
+    rows = probe.collect()  # one row
+    if not rows or rows[0]["status"] != "OK":
+        raise RuntimeError(f"the probe {first[key]} failed: {rows[0]['status'] if rows else 'no result'}")
+    return work.sparkSession.createDataFrame(rows, probe.schema).unionByName(run(excluding(work, key, first[key])))
+
+
+def outcome_counts(results: DataFrame) -> DataFrame:
+    """One row: how many units are done and how many failed."""
+    done = F.col("status").isin(*TERMINAL_STATUSES)
+    return results.agg(F.count_if(done).alias("done"), F.count_if(~F.coalesce(done, F.lit(False))).alias("failed"))
+
+
+def namespaced(*parts: Column) -> Column:
+    """One key out of several, as country/basin/tile; null if one of them is."""
+    return F.when(F.greatest(*[p.isNull() for p in parts]) == F.lit(False), F.concat_ws("/", *parts))
+
+
+def init_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The status log's table, created empty where there is none yet."""
+    if not exists(spark, path):
+        spark.createDataFrame([], LOG_SCHEMA).write.parquet(path)
+    return spark.read.schema(LOG_SCHEMA).parquet(path)
+
+
+class RateLimited(Exception):
+    """A scorer's service asks to be called less often."""
+
+
+def _within(seconds: float | None, scorer: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame) -> pd.DataFrame:
+    """The scorer's answer, or TimeoutError; a call that hangs is left behind in a thread that ends with the process."""
+    if seconds is None:
+        return scorer(rows)
+    box: dict = {}
+
+    def call() -> None:
+        try:
+            box["value"] = scorer(rows)
+        except Exception as e:  # handed on to the caller
+            box["error"] = e
+
+    thread = threading.Thread(target=call, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if "error" in box:
+        raise box["error"]
+    if "value" not in box:
+        raise TimeoutError(f"no answer within {seconds} s")
+    return box["value"]
+
+
+def score_resumably(
+    work: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 8, attempts: int = 3, backoff: float = 2.0,
+    rate_limit_delays: tuple[float, ...] = RATE_LIMIT_DELAYS, timeout: float | None = None,
+) -> DataFrame:
     """Applies a batched scorer. A batch that keeps failing is retried row by row; rows that fail
-    still come out with status ERROR, which is no terminal state, so a later run takes them again.
+    still come out with status ERROR: and the cause, which is no terminal state, so a later run takes
+    them again.
 
-    scorer returns the rows' key and its result columns; schema lists them and ends in status.
+    Attempts are backoff, backoff ** 2, .. seconds apart; after RateLimited the delays are longer and
+    have a count of their own. timeout bounds each call. scorer returns the rows' key and its result
+    columns; schema lists them and ends in status.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def attempt(rows: pd.DataFrame, tries: int) -> pd.DataFrame | None:
-            for k in range(tries):
-                try:
-                    return scorer(rows).assign(status="OK")
-                except Exception:
-                    if k + 1 < tries:
-                        time.sleep(backoff**k)
-            return None
+    def attempt(rows: pd.DataFrame, tries: int) -> tuple[pd.DataFrame | None, str]:
+        failed, limited = 0, 0
+        while True:
+            try:
+                return _within(timeout, scorer, rows).assign(status="OK"), ""
+            except RateLimited as e:
+                cause, limited = e, limited + 1
+                if limited > len(rate_limit_delays):
+                    break
+                time.sleep(rate_limit_delays[limited - 1])
+            except Exception as e:  # any other fault of the scorer
+                cause, failed = e, failed + 1
+                if failed >= tries:
+                    break
+                time.sleep(backoff**failed)
+        return None, f"ERROR: {type(cause).__name__}: {cause}"[:200]
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for i in range(0, len(part), batch):
                 rows = part.iloc[i : i + batch]
-                got = attempt(rows, attempts)
+                got, _ = attempt(rows, attempts)
                 if got is not None:
                     yield got
                     continue
                 for j in range(len(rows)):
-                    one = attempt(rows.iloc[j : j + 1], 1)
-                    yield rows.iloc[j : j + 1][["key"]].assign(status="ERROR") if one is None else one
+                    one, cause = attempt(rows.iloc[j : j + 1], 1)
+                    yield rows.iloc[j : j + 1][["key"]].assign(status=cause) if one is None else one
 
     names = [x.split()[0] for x in schema.split(",")]
     return work.mapInPandas(lambda it: (p.reindex(columns=names) for p in run(it)), schema)

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirmesh.constants import BOX_LEAST_AREA, BOX_MOST_OF_FRAME, BOX_REACH, STEP_ACCUM, STEP_DOWN, STEP_RATIO, STEP_UP, STEP_WINDOW
+from weirmesh.constants import BOX_LEAST_AREA, BOX_MOST_OF_FRAME, BOX_REACH, DEFAULT_HALF_WIDTH, EXCESS_AREA, EXCESS_FRACTION, HALF_WIDTH_BY_STRAHLER, RIVER_TOLERANCE, STEP_ACCUM, STEP_DOWN, STEP_RATIO, STEP_UP, STEP_WINDOW, WATER_HSV
 from weirmesh.operators.components import connected_components
+from weirmesh.operators.proximity import near_line, segment_d2
 
 #: Fixed value: the eight neighbours, in the order that settles ties of the steepest descent.
 D8_OFFSETS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -40,9 +41,15 @@ def masked_fraction(cells: DataFrame, by: list[str], mask: Column) -> DataFrame:
     return cells.groupBy(*by).agg(F.avg(mask.cast("int")).alias("fraction"))
 
 
-def mask_components(cells: DataFrame, width: int = 1 << 20) -> DataFrame:
-    """Statistics of the 8-connected components of cells(row, col)."""
-    ids = cells.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct().withColumn("id", F.col("row") * width + F.col("col"))
+def mask_components(cells: DataFrame, width: int = 1 << 31) -> DataFrame:
+    """Statistics of the 8-connected components of cells(row, col).
+
+    A component is named row * width + col of its first cell. Columns from 0 to width - 2 have
+    ids of their own; another column, or a row beyond 2 ** 31, is an error.
+    """
+    at = cells.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct()
+    fits = F.col("col").between(0, width - 2) & (F.abs("row") < (1 << 31))
+    ids = at.withColumn("id", F.when(fits, F.col("row") * width + F.col("col")).otherwise(F.raise_error(F.lit("cell outside the frame"))))
     half = F.array(*[F.lit(r * width + c) for r, c in D8_OFFSETS[4:]])  # each pair from one side
     near = ids.select(F.col("id").alias("a"), F.explode(F.transform(half, lambda o: F.col("id") + o)).alias("b"))
     edges = near.join(ids.select(F.col("id").alias("b")), "b", "left_semi")
@@ -99,8 +106,6 @@ def excess_area(subcells: DataFrame, segments: DataFrame, reach: int, sub: int =
     line = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("half_width")
     span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - reach) / size), F.floor((F.greatest(a, b) + reach) / size)))
     seg = segments.select(*line, span(line[0], line[2]).alias("cx")).select("*", span(line[1], line[3]).alias("cy"))
-    from weirmesh.operators.proximity import segment_d2
-
     pts = subcells.select("id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     channel = pts.join(seg, ["cx", "cy"]).filter(segment_d2("x", "y") <= F.col("half_width") * F.col("half_width")).select("id", "x", "y").distinct().groupBy("id").agg(F.count("*").alias("c"))
     total = subcells.groupBy("id").agg(F.count("*").alias("n"))
@@ -108,6 +113,28 @@ def excess_area(subcells: DataFrame, segments: DataFrame, reach: int, sub: int =
         "id", (F.col("n") * sub * sub).alias("total"), ((F.col("n") - F.coalesce("c", F.lit(0))) * sub * sub).alias("excess"), F.col("c").isNotNull().alias("touches"))
 
 
+def with_half_width(network: DataFrame, extra: DataFrame | None = None, fixed: dict[int, int] = HALF_WIDTH_BY_STRAHLER, default: int = DEFAULT_HALF_WIDTH) -> DataFrame:
+    """x1, y1, x2, y2, half_width of network(.., strahler), by order, and of a second network without
+    orders, at the default. Segments of the first without an order go."""
+    ends = ["x1", "y1", "x2", "y2"]
+    width = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in fixed.items() for v in kv]), F.col("strahler").cast("int")), F.lit(default))
+    out = network.filter("strahler is not null").select(*ends, width.alias("half_width"))
+    return out if extra is None else out.unionByName(extra.select(*ends, F.lit(default).alias("half_width")))
+
+
+def anomalous_widening(subcells: DataFrame, segments: DataFrame, tolerance: int = RIVER_TOLERANCE, sub: int = 1) -> DataFrame:
+    """id, total, excess and keep of every id of subcells(id, x, y), water areas as squares of sub metres.
+
+    keep: some subcell lies within tolerance of a segment (of any width), some lies in a channel, and
+    what lies outside every channel is more than EXCESS_AREA m2 and EXCESS_FRACTION of the whole.
+    """
+    near = subcells.join(near_line(subcells, segments, tolerance).select("id").distinct(), "id", "left_semi").select("id").distinct()
+    reach = segments.agg(F.coalesce(F.ceil(F.max("half_width")), F.lit(1))).first()[0]  # one number
+    e = excess_area(subcells, segments, int(reach), sub).join(near.withColumn("near", F.lit(True)), "id", "left")
+    keep = F.col("near").isNotNull() & F.col("touches") & (F.col("excess") > EXCESS_AREA) & (F.col("excess") > EXCESS_FRACTION * F.col("total"))
+    return e.select("id", "total", "excess", keep.alias("keep"))
+
+
 def step_profile(points: DataFrame, path: str, order: list[str], elev: str) -> DataFrame:
     """Positions of each path where a flat reach meets a drop (windows of six cells)."""
     k = STEP_WINDOW
@@ -164,7 +191,10 @@ def flow_accumulation(dem: np.ndarray) -> np.ndarray:
 
 
 def analyze_tile(dem: np.ndarray, accum: int = STEP_ACCUM, steps: int = 200) -> list[tuple[int, int, float, float, int]]:
-    """Fill, accumulate, walk down every stream and report row, col, slopes and accumulation of steps."""
+    """Fill, accumulate, walk down every stream and report row, col, slopes and accumulation of steps.
+
+    Everything is read off the filled surface, so that a pit in a stream makes no step.
+    """
     filled = fill_depressions(dem)
     acc, to, k = flow_accumulation(filled), steepest(filled), STEP_WINDOW
     stream, seen, found = acc > accum, np.zeros(dem.shape, bool), []
@@ -180,7 +210,7 @@ def analyze_tile(dem: np.ndarray, accum: int = STEP_ACCUM, steps: int = 200) ->
             path.append(nxt)
         for p in path:
             seen[p] = True
-        e = np.array([dem[p] for p in path])
+        e = np.array([filled[p] for p in path])
         if len(e) < 2 * k + 2:
             continue
         i = np.arange(k, len(e) - k)
@@ -191,16 +221,54 @@ def analyze_tile(dem: np.ndarray, accum: int = STEP_ACCUM, steps: int = 200) ->
     return found
 
 
-def terrain_steps(cells: DataFrame, accum: int = STEP_ACCUM) -> DataFrame:
-    """cells(tile_id, row, col, elev): steps along the streams of each tile, a tile per group."""
+def pixel_to_map(row: Column, col: Column, affine: tuple[float, ...]) -> tuple[Column, Column]:
+    """x, y of a pixel's upper left corner; affine is (a, b, c, d, e, f) of x = a col + b row + c, y = d col + e row + f."""
+    a, b, c, d, e, f = map(float, affine)
+    return a * col + b * row + c, d * col + e * row + f
+
+
+def north_up(x0: float, y1: float, size: float) -> tuple[float, ...]:
+    """The affine of an image whose upper left corner is x0, y1 and whose rows go south."""
+    return size, 0.0, x0, 0.0, -size, y1
+
+
+def without_nodata(cells: DataFrame, nodata: float | None, column: str = "elev") -> DataFrame:
+    """The value that stands for nodata, and NaN, as null."""
+    v = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    return cells.withColumn(column, v if nodata is None else F.nullif(v, F.lit(float(nodata))))
+
+
+def hsv(blue: Column, green: Column, red: Column) -> tuple[Column, Column, Column]:
+    """Hue in half degrees (0 to 179), saturation and value (0 to 255) of 8-bit channels."""
+    top, low = F.greatest(blue, green, red), F.least(blue, green, red)
+    span = F.nullif((top - low).cast("double"), F.lit(0.0))
+    turn = F.when(top == red, (green - blue) / span).when(top == green, 2 + (blue - red) / span).otherwise(4 + (red - green) / span)
+    hue = F.coalesce(F.round(F.pmod(turn * 30 + 180, F.lit(180.0))).cast("int") % 180, F.lit(0))
+    return hue, F.coalesce(F.round(255 * span / top).cast("int"), F.lit(0)), top.cast("int")
+
+
+def in_colour_range(pixels: DataFrame, low: tuple[int, int, int] = WATER_HSV[0], high: tuple[int, int, int] = WATER_HSV[1]) -> DataFrame:
+    """The pixels(blue, green, red, ..) whose hue, saturation and value all lie in a range, ends included."""
+    keep = F.lit(True)
+    for v, a, b in zip(hsv(F.col("blue"), F.col("green"), F.col("red")), low, high, strict=True):
+        keep = keep & v.between(a, b)
+    return pixels.filter(keep)
+
+
+def terrain_steps(cells: DataFrame, accum: int = STEP_ACCUM, affine: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:
+    """cells(tile_id, row, col, elev): steps along the streams of each tile, a tile per group, with
+    x, y of their pixels' corners. Cells that are absent or null are outside; so are rows without row or col."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         dem = np.full((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1), np.nan)
         dem[pdf["row"], pdf["col"]] = pdf["elev"]
-        rows = analyze_tile(dem, accum)
+        rows = analyze_tile(dem, accum) if not np.isnan(dem).all() else []
         out = pd.DataFrame(rows, columns=["row", "col", "up_slope", "down_slope", "flow_accum"])
         out.insert(0, "tile_id", pdf["tile_id"].iloc[0])
         return out
 
     kind = cells.schema["tile_id"].dataType.simpleString()
-    return cells.groupBy("tile_id").applyInPandas(one, f"tile_id {kind}, row long, col long, up_slope double, down_slope double, flow_accum long")
+    use = cells.filter("row is not null and col is not null").select("tile_id", F.col("row").cast("long"), F.col("col").cast("long"), F.col("elev").cast("double"))
+    out = use.groupBy("tile_id").applyInPandas(one, f"tile_id {kind}, row long, col long, up_slope double, down_slope double, flow_accum long")
+    x, y = pixel_to_map(F.col("row"), F.col("col"), affine)
+    return out.withColumns({"x": x, "y": y})

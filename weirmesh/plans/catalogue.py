@@ -25,6 +25,8 @@ def query(f: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
+    from weirmesh.plans import io_queries  # noqa: F401  registers its queries here
+
     return dict(_all)
 
 

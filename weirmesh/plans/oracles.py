@@ -180,7 +180,7 @@ def all_oracles() -> dict[str, str]:
           FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate))) WHERE n >= 14 AND pos BETWEEN 6 AND n - 7 AND up < 0.015 AND down > 0.05 AND down > 3.0*greatest(up, 1e-6)""",
         "median_composite": _MED,
         "ndwi_cells": f"SELECT row, col, round(ndwi, 6) AS ndwi FROM ({_NDWI}) WHERE ndwi > 0.2",
-        "mask_components": f"""WITH RECURSIVE c AS (SELECT row, col, row*1048576 + col AS id FROM ({_NDWI}) WHERE ndwi > 0.55), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND a.id <> b.id),
+        "mask_components": f"""WITH RECURSIVE c AS (SELECT row, col, row*2147483648 + col AS id FROM ({_NDWI}) WHERE ndwi > 0.55), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND a.id <> b.id),
           reach AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id), m AS (SELECT id, min(root) AS component FROM reach GROUP BY id)
           SELECT component, count(*) AS area, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, round(avg(row), 6) AS row_mean, round(avg(col), 6) AS col_mean FROM c JOIN m USING (id) GROUP BY component HAVING count(*) > 1""",
         "water_fraction": f"SELECT row, round(f, 6) AS fraction, f > 0.01 AS confirmed FROM (SELECT row, avg(CAST(ndwi > 0.2 AS INT)) AS f FROM ({_NDWI}) GROUP BY row)",
@@ -213,7 +213,7 @@ def all_oracles() -> dict[str, str]:
         "prefix_match": "WITH o AS (SELECT concat('tile_', o_custkey, '_', o_orderkey) AS name, concat('tile_', o_custkey) AS stem FROM orders) SELECT name, t.stem FROM o LEFT JOIN (SELECT concat('tile_', c_custkey) AS stem FROM customer WHERE c_custkey % 3 > 0) t USING (stem)",
         "spot_check": f"""WITH cand AS ({_CAND}), reg AS ({sparse}), mt AS ({_match('cand', 'reg')}), f AS (SELECT c.id, {_MATCHED} AS match_status FROM cand c LEFT JOIN mt USING (id))
           SELECT id, match_status, count(*) OVER (PARTITION BY match_status) AS group_size FROM f QUALIFY row_number() OVER (PARTITION BY match_status ORDER BY md5(concat(id, '|42')), id) <= 20""",
-        "near_centre_box": f"""WITH RECURSIVE c AS (SELECT row, col, row*1048576 + col AS id FROM ({_NDWI}) WHERE ndwi > 0.35), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND a.id <> b.id),
+        "near_centre_box": f"""WITH RECURSIVE c AS (SELECT row, col, row*2147483648 + col AS id FROM ({_NDWI}) WHERE ndwi > 0.35), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND a.id <> b.id),
           reach AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id), m AS (SELECT id, min(root) AS component FROM reach GROUP BY id),
           k AS (SELECT component, count(*) AS area, min(row) AS y0, max(row) + 1 AS y1, min(col) AS x0, max(col) + 1 AS x1 FROM c JOIN m USING (id) GROUP BY component
             HAVING count(*) >= 3 AND (avg(row) - 100)*(avg(row) - 100) + (avg(col) - 50)*(avg(col) - 50) <= 35*35 ORDER BY area DESC, component LIMIT 1)
@@ -225,4 +225,83 @@ def all_oracles() -> dict[str, str]:
         "geojson_features": f"SELECT id, layer, 'Point' AS geometry_type, x AS lon, y AS lat FROM ({_CAND})",
         "unproject_grid": _unproject(),
         "resume_terminal": f"SELECT key, id FROM ({_KEYS}) WHERE key NOT IN (SELECT key FROM ({_KEYS}) WHERE id % 3 = 0 AND id % 4 < 3)",
+    } | _io_oracles()
+
+
+_CUSTOMERS = "SELECT c_custkey, c_name, concat('a \"b\", é\\', c_mktsegment) AS note, nullif(c_nationkey, 3) AS nation, c_acctbal FROM customer"
+
+
+def _io_oracles() -> dict[str, str]:
+    seg2 = f"SELECT x1, y1, x2, y2, {_WIDTH} AS hw FROM ({_SEG}) WHERE strahler IS NOT NULL UNION ALL SELECT x1 + 25, y1, x2 + 25, y2, {K.DEFAULT_HALF_WIDTH} FROM ({_SEG})"
+    d2 = "(x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1))) + (y-(y1+t*(y2-y1)))*(y-(y1+t*(y2-y1)))"
+    reach = max(K.HALF_WIDTH_BY_STRAHLER.values())
+    dense = _SEG.replace(_xy("s_suppkey + 100", SPARSE), _xy("s_suppkey + 100", DENSE))
+    seen = "LATERAL (SELECT line_id, (x-(x1+t*(x2-x1)))*(x-(x1+t*(x2-x1))) + (y-(y1+t*(y2-y1)))*(y-(y1+t*(y2-y1))) AS d2"
+    size, buf = 500, 200
+    return {
+        "csv_round_trip": _CUSTOMERS,
+        "json_array_round_trip": _CUSTOMERS,
+        "jsonl_append_once": f"SELECT c_custkey, note, nation FROM ({_CUSTOMERS})",
+        "jsonl_lonlat": _unproject(),
+        "missing_as_empty": "SELECT c_custkey, c_name FROM customer",
+        "geojson_round_trip": "SELECT c_custkey, c_name, 'Point' AS geometry_type, c_custkey % 90 AS lon, c_nationkey AS lat FROM customer",
+        "layer_round_trip": "SELECT 'points' AS layer, c_custkey, 1 AS vertices, CAST(c_custkey AS DOUBLE) AS x FROM customer UNION ALL SELECT 'lines', c_custkey, 2, CAST(c_custkey AS DOUBLE) FROM customer",
+        "chunk_checkpoints": f"SELECT chunk, c_custkey, CAST(n.c_nationkey + CASE WHEN chunk = 1 THEN 100 ELSE 0 END AS INT) AS c_nationkey FROM ({_chunks(40)}) JOIN customer n USING (c_custkey)",
+        "mosaic_round_trip": f"SELECT row, col, count(*) AS n FROM ({_OBS}) WHERE row % 7 = 3 GROUP BY ALL",
+        "gpkg_round_trip": "SELECT l.layer, n_nationkey + 1 AS fid, n_name, 'Point' AS geometry_type, CAST(n_nationkey + l.s AS DOUBLE) AS x, CAST(n_regionkey AS DOUBLE) AS y FROM nation, (VALUES ('places', 0), ('moved', 1000)) l(layer, s)",
+        "shapefile_round_trip": "SELECT CAST(n_nationkey + 1 AS INT) AS record, 1 AS shape_type, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_regionkey AS DOUBLE) AS y FROM nation",
+        "output_files": f"{_FLAG} SELECT 'pilot' AS file, match_status, count(*) AS n FROM flag GROUP BY 2 UNION ALL SELECT 'review', match_status, count(*) FROM flag WHERE match_status = 'new-uncertain' GROUP BY 2",
+        "water_signature_points": f"SELECT 'layer3_water_signature' AS layer, r.id, r.snap_x AS x, r.snap_y AS y, c.confidence, c.source_ref FROM ({all_oracles_snap()}) r JOIN ({_CAND}) c USING (id)",
+        "anomalous_widening": f"""WITH s AS ({seg2}), p AS (SELECT line_id AS id, x1 - line_id % 40 + i AS x, y1 - 10 + 20 * (line_id % 3) + j AS y FROM ({_SEG}), unnest(range(0, 30)) a(i), unnest(range(0, 30)) b(j)),
+          h AS (SELECT id, x, y, min({d2}) AS near, bool_or({d2} <= hw*hw) AS inside FROM (SELECT p.id, p.x, p.y, s.*, {_t("p.x", "p.y")} AS t FROM p JOIN s ON p.x BETWEEN least(x1, x2)-{reach} AND greatest(x1, x2)+{reach} AND p.y BETWEEN least(y1, y2)-{reach} AND greatest(y1, y2)+{reach}) GROUP BY id, x, y),
+          n AS (SELECT id, count(*) FILTER (inside) AS c, min(near) AS near FROM h GROUP BY id)
+          SELECT id, total, excess, near <= 900 AND c > 0 AND excess > 400 AND excess > 0.3*total AS keep FROM (SELECT id, count(*) AS total, count(*) - coalesce(any_value(c), 0) AS excess, coalesce(any_value(c), 0) AS c, coalesce(any_value(near), 1e9) AS near FROM p LEFT JOIN n USING (id) GROUP BY id)""",
+        "snapped_tiles": _snapped(size, buf),
+        "clip_lines_to_ring": _ring_clip(dense),
+        "centroids": """SELECT p_partkey, round((n*n/2 + k*n + 0) / (n + k + 2), 5) AS line_x, round((k*k/2 + 2*11) / (n + k + 2), 5) AS line_y,
+          round(((n+4)*(n+4)*(n+4)/2 - 4*2 + 9*(k+101.5)) / ((n+4)*(n+4) - 4 + 9), 5) AS area_x, round(((n+4)*(n+4)*(n+4)/2 - 4*2 + 9*(k+101.5)) / ((n+4)*(n+4) - 4 + 9), 5) AS area_y
+          FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS n, CAST(p_partkey % 50 AS DOUBLE) AS k FROM part)""",
+        "pixel_positions": "SELECT p_partkey, 287000 + 0.5 * p_size + 0.0 AS x, 4164500 - 0.5 * (p_partkey % 300) + 0.0 AS y FROM part",
+        "colour_mask": """SELECT p_partkey FROM (SELECT p_partkey, mx, CASE WHEN mx = mn THEN 0 ELSE round(255.0*(mx-mn)/mx) END AS sat, CASE WHEN mx = mn THEN 0 ELSE round((CASE WHEN mx = r THEN CAST(g-b AS DOUBLE)/(mx-mn) WHEN mx = g THEN 2 + CAST(b-r AS DOUBLE)/(mx-mn) ELSE 4 + CAST(r-g AS DOUBLE)/(mx-mn) END) * 30) END AS h
+          FROM (SELECT *, greatest(b, g, r) AS mx, least(b, g, r) AS mn FROM (SELECT p_partkey, p_partkey * 7 % 256 AS b, p_partkey * 13 % 256 AS g, p_size * 5 AS r FROM part)))
+          WHERE h BETWEEN 35 AND 140 AND sat BETWEEN 25 AND 255 AND mx BETWEEN 20 AND 220""",
+        "nodata_cells": f"SELECT count(*) AS cells, count(nullif(elev, 50)) AS valid FROM (SELECT row, col, max(green) AS elev FROM ({_OBS}) GROUP BY ALL)",
+        "key_helpers": """SELECT c_custkey, key, replace(key, '/', '_') AS stem, replace(key, '/', '_') || '.png' AS name, left(c_name, 12) AS line, c_custkey % 5 = 0 AS failed
+          FROM (SELECT *, CASE WHEN c_mktsegment <> 'BUILDING' THEN concat('es/', c_mktsegment, '/tile_', c_custkey) END AS key FROM customer WHERE c_custkey NOT IN (7, 9))""",
+        "outcome_counts": "SELECT count(*) FILTER (o_orderkey % 3 < 2) AS done, count(*) FILTER (o_orderkey % 3 = 2) AS failed FROM orders",
+        "status_log_appended": "SELECT c_custkey AS tile_id, 'layer2' AS stage, CASE WHEN c_custkey % 2 = 0 THEN 'done' ELSE 'failed' END AS status FROM customer",
     }
+
+
+def all_oracles_snap() -> str:
+    return f"SELECT id, round(sx, 3) AS snap_x, round(sy, 3) AS snap_y FROM (SELECT id, arg_min({{'sx': sx, 'sy': sy}}, {{'d': round(d2, 6), 'l': line_id, 'sx': sx, 'sy': sy}}) AS m FROM ({_ONLINE}) GROUP BY id) , LATERAL (SELECT m.sx AS sx, m.sy AS sy)"
+
+
+def _chunks(size: int) -> str:
+    """Rows by 256 hash buckets of the key, then by key, size of them in a chunk."""
+    b = "CAST(concat('0x', substr(md5(CAST(c_custkey AS VARCHAR)), 1, 4)) AS BIGINT) % 256"
+    return f"SELECT c_custkey, (row_number() OVER (ORDER BY {b}, c_custkey) - 1) // {size} AS chunk FROM customer"
+
+
+def _snapped(size: int, buf: int) -> str:
+    """Tiles met by a line widened by buf: a tile's distance to a segment is 0 or reached at an end or a corner."""
+    tk = "(CASE WHEN dx = 0 AND dy = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (({cx}-x1)*dx + ({cy}-y1)*dy) / CAST(dx*dx+dy*dy AS DOUBLE))) END)"
+    corner = [f"(({cx}-(x1+{tk.format(cx=cx, cy=cy)}*dx))*({cx}-(x1+{tk.format(cx=cx, cy=cy)}*dx)) + ({cy}-(y1+{tk.format(cx=cx, cy=cy)}*dy))*({cy}-(y1+{tk.format(cx=cx, cy=cy)}*dy)))" for cx in ("bx0", "bx1") for cy in ("by0", "by1")]
+    near = lambda v, a, b: f"greatest({a}-{v}, {v}-{b}, 0)*greatest({a}-{v}, {v}-{b}, 0)"
+    ends = [near(f"x{i}", "bx0", "bx1") + " + " + near(f"y{i}", "by0", "by1") for i in (1, 2)]
+    part = lambda d, s, a, b, f, no: f"CASE WHEN {d} = 0 THEN CASE WHEN {s} BETWEEN {a} AND {b} THEN {no[0]} ELSE {no[1]} END ELSE {f}(({a}-{s})/CAST({d} AS DOUBLE), ({b}-{s})/CAST({d} AS DOUBLE)) END"
+    lo = [part(d, s, a, b, "least", (0.0, 2.0)) for d, s, a, b in (("dx", "x1", "bx0", "bx1"), ("dy", "y1", "by0", "by1"))]
+    hi = [part(d, s, a, b, "greatest", (1.0, -2.0)) for d, s, a, b in (("dx", "x1", "bx0", "bx1"), ("dy", "y1", "by0", "by1"))]
+    return f"""WITH s AS (SELECT *, x2-x1 AS dx, y2-y1 AS dy FROM ({_SEG})), o AS (SELECT min(least(x1, x2)) - {buf} AS ax, min(least(y1, y2)) - {buf} AS ay, max(greatest(x1, x2)) + {buf} AS zx, max(greatest(y1, y2)) + {buf} AS zy FROM s),
+      g AS (SELECT a.i*{size} AS bx0, b.i*{size} AS by0, a.i*{size} + {size} AS bx1, b.i*{size} + {size} AS by1 FROM o, unnest(range(CAST(floor(ax / {size}.0) AS BIGINT), CAST(floor(zx / {size}.0) AS BIGINT) + 1)) a(i), unnest(range(CAST(floor(ay / {size}.0) AS BIGINT), CAST(floor(zy / {size}.0) AS BIGINT) + 1)) b(i))
+      SELECT DISTINCT printf('pilot_%d_%d', bx0, by0) AS tile_id, bx0 AS x0, by0 AS y0 FROM g JOIN s ON (greatest({lo[0]}, {lo[1]}, 0.0) <= least({hi[0]}, {hi[1]}, 1.0)) OR least({", ".join([*ends, *corner])}) <= {buf * buf}"""
+
+
+def _ring_clip(segments: str) -> str:
+    """Cuts at every edge by unnesting them, then parts whose middle is inside."""
+    edges = ", ".join(f"({a[0]}.0, {a[1]}.0, {b[0]}.0, {b[1]}.0)" for a, b in zip(RING, RING[1:] + RING[:1], strict=True))
+    return f"""WITH s AS (SELECT line_id, x1, y1, CAST(x2-x1 AS DOUBLE) AS dx, CAST(y2-y1 AS DOUBLE) AS dy FROM ({segments}) WHERE line_id % 2 = 0), e(ax, ay, ex, ey) AS (VALUES {edges}),
+      c AS (SELECT line_id, x1, y1, dx, dy, unnest([0.0, 1.0]) AS t FROM s UNION
+        SELECT line_id, x1, y1, dx, dy, t FROM (SELECT s.*, ((ax-x1)*(ey-ay) - (ay-y1)*(ex-ax)) / nullif(dx*(ey-ay) - dy*(ex-ax), 0) AS t, ((ax-x1)*dy - (ay-y1)*dx) / nullif(dx*(ey-ay) - dy*(ex-ax), 0) AS u FROM s, e) WHERE t > 0 AND t < 1 AND u BETWEEN 0 AND 1),
+      p AS (SELECT *, lead(t) OVER (PARTITION BY line_id ORDER BY t) AS t2 FROM c), m AS (SELECT line_id, t, t2, dx, dy, x1 + (t+t2)/2*dx AS x, y1 + (t+t2)/2*dy AS y FROM p WHERE t2 IS NOT NULL AND (dx <> 0 OR dy <> 0))
+      SELECT line_id, count(*) AS parts, round(sum((t2-t)*sqrt(dx*dx + dy*dy)), 2) AS length FROM m WHERE {_ring()} GROUP BY line_id"""

@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, shared by driver and executors."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="weirmesh-"))
     return named.rstrip("/")
 
@@ -28,13 +30,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weirmesh-{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once and returns the table that was written."""
+def track(path: str) -> str:
+    """Has drop_stage_tables delete a path as well."""
+    _written.append(path)
+    return path
+
+
+def stage_table(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """Writes df once and returns the table that was written; free has shuffle files that led to it deleted."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     _written.append(path)
-    spark.sparkContext._jvm.System.gc()  # what led here is no longer needed; its shuffle files can go
+    if free:
+        spark.sparkContext._jvm.System.gc()  # what led here is no longer needed; its shuffle files can go
     return spark.read.schema(df.schema).parquet(path)
 
 

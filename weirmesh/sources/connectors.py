@@ -5,14 +5,17 @@ Each is registered with register(spark). Files must be in a folder that executor
 
 from __future__ import annotations
 
+import http.client
 import json
 import sqlite3
 import struct
+import time
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -141,9 +144,12 @@ class _ShapeReader(DataSourceReader):
 
 
 class PagedFeatureSource(DataSource):
-    """Options: url (with {start}, {count} and {bbox}), bbox, page (1000), max_pages (100).
+    """Options: url with {start}, {count}, {bbox} and {layer}; layers (by comma), bboxes (by semicolon),
+    page (1000), delay (seconds between pages, 0.2), attempts (3), backoff (2), timeout (90).
 
-    Each partition reads one page; pages past the end are empty. One feature's JSON for each row.
+    A partition reads one layer in one bbox to its end: until a page is empty, or is short and the
+    answer doesn't say that there is more. One feature's JSON for each row. Features that lie in
+    several bboxes come once for each.
     """
 
     @classmethod
@@ -151,27 +157,99 @@ class PagedFeatureSource(DataSource):
         return "weirmesh_paged"
 
     def schema(self) -> str:
-        return "page int, feature string"
+        return "layer string, page int, feature string"
 
     def reader(self, schema) -> DataSourceReader:
         return _PagedReader(dict(self.options))
 
 
-class _PagedReader(DataSourceReader):
+class _Part(InputPartition):
+    def __init__(self, layer: str, bbox: str) -> None:
+        self.layer, self.bbox = layer, bbox
+
+
+def fetch(request: str | urllib.request.Request, attempts: int, backoff: float, timeout: float) -> bytes:
+    """An answer's body; a failed call is repeated after backoff, backoff ** 2, .. seconds."""
+    for k in range(1, attempts + 1):
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as r:
+                return r.read()
+        except (OSError, http.client.HTTPException):
+            if k == attempts:
+                raise
+            time.sleep(backoff**k)
+    raise ValueError("no attempts")
+
+
+class _ServiceReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.url, self.bbox = options["url"], options.get("bbox", "")
-        self.page, self.pages = int(options.get("page", 1000)), int(options.get("max_pages", 100))
+        number = lambda name, default: float(options.get(name, default))
+        self.url, self.page, self.delay = options["url"], int(number("page", 1000)), number("delay", 0.2)
+        self.attempts, self.backoff, self.timeout = int(number("attempts", 3)), number("backoff", 2), number("timeout", 90)
+        self.layers, self.bboxes = options.get("layers", "").split(","), options.get("bboxes", options.get("bbox", "")).split(";")
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(i, i + 1) for i in range(self.pages)]
+        return [_Part(layer, bbox) for layer in self.layers for bbox in self.bboxes]
+
+
+class _PagedReader(_ServiceReader):
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        start, page = 0, 0
+        while True:
+            quoted = urllib.parse.quote(partition.bbox, safe=",")
+            answer = json.loads(fetch(self.url.format(start=start, count=self.page, bbox=quoted, layer=partition.layer), self.attempts, self.backoff, self.timeout))
+            if "error" in answer:
+                raise RuntimeError(f"the service reports {answer['error']}")
+            found = answer.get("features", [])
+            for f in found:
+                yield partition.layer, page, json.dumps(f)
+            start, page = start + len(found), page + 1
+            matched = answer.get("numberMatched")
+            more = answer.get("exceededTransferLimit") or answer.get("properties", {}).get("exceededTransferLimit") or isinstance(matched, int) and matched > start
+            if not found or len(found) < self.page and not more:
+                return
+            time.sleep(self.delay)
+
+
+class OverpassSource(DataSource):
+    """Options: url, bboxes (south,west,north,east by semicolon), tag (waterway=weir), and those of a
+    paged source for attempts. A partition posts one bbox; one element's JSON for each row."""
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        url = self.url.format(start=partition.low * self.page, count=self.page, bbox=urllib.parse.quote(self.bbox, safe=","))
-        with urllib.request.urlopen(url, timeout=90) as r:
-            for f in json.load(r).get("features", []):
-                yield partition.low, json.dumps(f)
+    @classmethod
+    def name(cls) -> str:
+        return "weirmesh_overpass"
+
+    def schema(self) -> str:
+        return "element string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _OverpassReader(dict(self.options))
+
+
+class _OverpassReader(_ServiceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        self.key, _, self.value = options.get("tag", "waterway=weir").partition("=")
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        wanted = "".join(f'{kind}["{self.key}"="{self.value}"]({partition.bbox});' for kind in ("node", "way"))
+        body = f"[out:json][timeout:60];({wanted});out center;".encode()
+        answer = json.loads(fetch(urllib.request.Request(self.url, body, {"Content-Type": "text/plain"}), self.attempts, self.backoff, self.timeout))
+        for e in answer.get("elements", []):
+            yield (json.dumps(e),)
+
+
+def overpass_records(elements: DataFrame, source: str = "OSM", barrier_type: str = "weir") -> DataFrame:
+    """Registry rows out of elements(element): a way lies at its centre; elements without a place go."""
+    kind = "struct<type: string, id: long, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: string>"
+    e = elements.select(F.from_json("element", kind).alias("e"))
+    at = lambda c: F.coalesce(F.nullif(F.col(f"e.{c}"), F.lit(0.0)), F.col(f"e.center.{c}"))
+    out = e.select(
+        F.lit(source).alias("source"), F.concat_ws("/", "e.type", F.col("e.id").cast("string")).alias("source_id"), at("lat").alias("lat"), at("lon").alias("lon"),
+        F.lit(barrier_type).alias("barrier_type"), F.coalesce("e.tags", F.lit("{}")).alias("raw_attributes"))
+    return out.filter("lat is not null and lon is not null")
 
 
 def register(spark: SparkSession) -> None:
-    for source in (GeoPackageSource, ShapefileSource, PagedFeatureSource):
+    for source in (GeoPackageSource, ShapefileSource, PagedFeatureSource, OverpassSource):
         spark.dataSource.register(source)
