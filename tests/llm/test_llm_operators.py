@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from weirmesh.llm import catalogue, decontaminate, html_extract, langid, language_model, license_scan, mixing, near_dedup, pipeline, quality, suffix_dedup, toxicity
 from weirmesh.llm import text as tx
+from weirmesh.llm.labelled_pages import filled
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, score string, kept string, h1 string"
@@ -490,3 +492,47 @@ def test_pipeline_on_odd_rows(spark, sf):
         df.collect()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd(spark).limit(0), sf).count() == 0
+
+
+#: Shapes that the tree wasn't trained on; [[..]] marks what is main text.
+UNSEEN = {
+    "magazine": """<body><div id="masthead"><a href=/>{2}</a><span>{6}</span></div><div role="navigation"><a href=/a>{1}</a><a href=/b>{2}</a></div><div itemprop="articleBody"><h1>[[{7}]]</h1><p>[[{48}]]</p><div class="promo-box"><p>{16}</p></div><p>[[{33}]]</p><h3>[[{4}]]</h3><p>[[{61}]]</p></div><div class="recommended"><a href=/1>{6}</a><p>{12}</p></div><div id="disqus_thread"><p>{30}</p></div><div class="page-footer">{10}</div></body>""",
+    "intranet": """<body><form id="mainForm"><table><tr><td class="leftMenu"><a href=/a>{2}</a><br><a href=/b>{2}</a></td><td><p>[[{52}]]</p><p>[[{11}]]</p><p>[[{44}]]</p></td></tr></table><div class="siteFooter">{9}</div></form></body>""",
+    "recipe": """<body><nav><a href=/>{2}</a></nav><main><h1>[[{4}]]</h1><ul><li>[[{3}]]</li><li>[[{4}]]</li></ul><ol><li>[[{16}]]</li><li>[[{21}]]</li></ol><aside><p>{20}</p></aside></main><section id="user-comments"><h2>{2}</h2><div><p>{22}</p></div><div><p>{31}</p></div></section><footer><p>{7}</p></footer></body>""",
+    "press release": """<body><div class="cookieBanner"><span>{25}</span><button>OK</button></div><div class="wrapper"><p>[[{9}]]</p><p>[[{70}]]</p><p>[[{40} <a href=/c>{4}</a> {5}]]</p><p>[[{8}]]</p></div><div class="socialShare"><a href=/f>{1}</a><a href=/t>{1}</a></div></body>""",
+    "wiki": """<body><div class="sidebar"><ul><li><a href=/1>{3}</a></li><li><a href=/2>{3}</a></li></ul></div><div id="bodyContent"><h1>[[{2}]]</h1><p>[[{14} <a href=/a>{2}</a> {9} <a href=/b>{1}</a>]]</p><p>[[{25} <a href=/c>{3}</a>]]</p><h2>[[{1}]]</h2><p>[[{40}]]</p></div><footer>{11}</footer></body>""",
+    "unclosed": """<body><div class=menu><a href=/>{2}</a><a href=/x>{1}</div><article><h1>[[{5}]]</h1><p>[[{30}]]<p>[[{28}]]<p>[[{6}]]<ul><li>[[{5}]]<li>[[{7}]]</ul></article><div class=advertisement>{13}</div>""",
+    "search policy page": """<body><header><a href=/>{2}</a><form><input><button>Search</button></form></header><div class="legal search-notice-text"><h1>[[{3}]]</h1><p>[[{60}]]</p><p>[[{80}]]</p></div><div class="copyright">{6}</div></body>""",
+    "plain letter": """<body><p>[[{3}]]</p><p>[[{18}]]</p><p>[[{24}]]</p><p>[[{4}]]</p></body>""",
+}
+
+
+def test_pages_of_shapes_not_trained_on():
+    tree = html_extract.labelled_tree()
+    hit = extra = missed = 0
+    for page in UNSEEN.values():
+        want = Counter(" ".join(re.sub("<[^>]*>", "", filled(x)).split()) for x in re.findall(r"\[\[(.*?)\]\]", page))
+        got = Counter(html_extract.main_text(filled(page.replace("[[", "").replace("]]", "")), tree).split("\n"))
+        hit, extra, missed = hit + sum((want & got).values()), extra + sum((got - want).values()), missed + sum((want - got).values())
+    assert hit / (hit + extra) >= 0.95 and hit / (hit + missed) >= 0.95
+
+
+def test_names_and_forms_are_no_veto():
+    tree, w = html_extract.labelled_tree(), filled("{80}")
+    for page in (f'<div class="social-policy"><p>{w}</p></div>', f'<div class="legal-news"><p>{w}</p></div>', f'<form id="aspnetForm"><p>{w}</p></form>', f"<div>{w}</div>"):
+        assert html_extract.main_text(f"<body><nav><a href=/>Home</a></nav>{page}</body>", tree) == w
+    assert html_extract.main_text(f"<article><p>{w}</p><p><a href=/>one two three four</a> five</p><p>{w}</p><ul><li>a <a href=/>b c</a></li></ul></article>", tree) == f"{w}\none two three four five\n{w}\na b c"
+    assert html_extract.main_text("<p>Two short words.</p><p>And three more words.</p>", tree) == "Two short words.\nAnd three more words."
+
+
+@pytest.mark.parametrize("bad", ['<div x="', "<div x='a", "<svg><p>x", "<b>", "<!-- ", "</div>", "<p><i>", "<a b", "<", "<div>x", "<script>", "<span>x <div>", "&lt;x &#"])
+def test_malformed_pages_take_time_in_proportion(bad):
+    t = time.perf_counter()
+    html_extract.main_text("<p>Some words here.</p>" + bad * (1_000_000 // len(bad)), html_extract.labelled_tree())
+    assert time.perf_counter() - t < 20
+
+
+def test_attributes_and_breaks():
+    tree = html_extract.labelled_tree()
+    page = "<article><p title='a > b' class=x>One <br/>two&nbsp;three<p data-x=\"</p>\">Four &amp; five</p><textarea>no</textarea><svg><text>no</text></svg></article>"
+    assert html_extract.main_text(page, tree) == "One two three\nFour & five"
