@@ -536,3 +536,37 @@ def test_attributes_and_breaks():
     tree = html_extract.labelled_tree()
     page = "<article><p title='a > b' class=x>One <br/>two&nbsp;three<p data-x=\"</p>\">Four &amp; five</p><textarea>no</textarea><svg><text>no</text></svg></article>"
     assert html_extract.main_text(page, tree) == "One two three\nFour & five"
+
+
+def test_estimation_outgrows_a_wrong_guess():
+    rng = random.Random(5)
+    right = [0.95, 0.9, 0.9, 0.55]
+    seen = Counter()
+    for _ in range(20000):
+        good = rng.random() < 0.7
+        seen[tuple(0 if rng.random() < 0.2 else (1 if good == (rng.random() < a) else -1) for a in right)] += 1
+    guess = quality.Estimate([0.5, 0.5], [[0.4, 0.4, 0.4, 0.03], [0.6, 0.6, 0.6, 0.97]])
+    e = quality.estimate(list(seen.items()), guess)
+    assert abs(e.shares[0] - 0.7) < 0.03
+    assert all(abs(a - x) < 0.04 for pair, a in zip(e.accuracies(), right, strict=True) for x in pair)
+    assert quality.estimate([], guess) == guess
+
+
+def test_estimation_tells_rare_faults_apart():
+    """Two faults that different rules find: neither passes for good."""
+    rules = {f"r{k}": ("false", "false", "a" if k < 2 else "b") for k in range(4)}
+    seen = [((1, 1, 1, 1), 9000), ((-1, -1, 1, 1), 700), ((1, 1, -1, -1), 300), ((1, 1, 1, -1), 20), ((0, 0, 0, 0), 5)]
+    e = quality.estimate(seen, quality.first_guess(rules))
+    good = {v: e.kinds(v)[0] for v, _ in seen}
+    assert good[1, 1, 1, 1] > 0.99 and good[-1, -1, 1, 1] < 0.01 and good[1, 1, -1, -1] < 0.01 and abs(good[0, 0, 0, 0] - e.shares[0]) < 1e-9
+
+
+def test_quality_verdict_equals_the_formula(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = quality.judge(docs).collect()
+    names = [f"vote_{k}" for k in quality.RULES]
+    seen = Counter(tuple(r[n] for n in names) for r in rows)
+    e = quality.estimate(sorted(seen.items()), quality.first_guess())
+    for r in rows:
+        p = e.kinds(tuple(r[n] for n in names))[0]
+        assert abs(p - r.probability) < 1e-6 and r.kept == (not r.base_failed and r.probability >= 0.5)
