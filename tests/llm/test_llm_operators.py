@@ -570,3 +570,34 @@ def test_quality_verdict_equals_the_formula(spark, sf):
     for r in rows:
         p = e.kinds(tuple(r[n] for n in names))[0]
         assert abs(p - r.probability) < 1e-6 and r.kept == (not r.base_failed and r.probability >= 0.5)
+
+
+def test_no_edit_escapes_the_prefilter():
+    """Every word that the automaton takes is asked for, stems and letters of several bytes included."""
+    rng = random.Random(3)
+    model = toxicity.Model(terms=["worthless", "idiot", "dégoûtant", "straße"], stems=["worthl", "élévate", "stupid"])
+    letters = "abdeiglorstuwéûß"
+    words = set()
+    for w in [*model.terms, *(x + y for x in model.stems for y in ("", "ess", "ing"))]:
+        for i in range(len(w) + 1):
+            words |= {w[:i] + w[i + 1 :], w[: max(i - 1, 0)] + w[i : i + 1] + w[max(i - 1, 0) : i] + w[i + 1 :]}
+            words |= {w[:i] + c + w[i:] for c in letters} | {w[:i] + c + w[i + 1 :] for c in letters}
+    words |= {"".join(rng.choices(letters, k=rng.randint(2, 12))) for _ in range(2000)}
+    words = sorted(w for w in words if len(w.encode()) > 1)
+    got = toxicity.Matcher(model)(tx_fold(words))
+    trie = toxicity.Trie(model.terms, model.stems)
+    missed = [w for w, v in zip(words, got, strict=True) if (trie.match(w) is not None) != (v in (1, 2))]
+    assert not missed
+
+
+def tx_fold(words):
+    return decontaminate._Fold(pa.array([" ".join(words)], pa.string()))
+
+
+def test_toxicity_ties_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(40) for t in ([f"you are a worthless {w} idiot number {i}" if i % 2 else f"the {w} river is calm number {i}" for w in ("big", "small")])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.terms == toxicity.train(docs.orderBy(F.desc("text")), labels.union(labels)).terms
+    one, two = (sorted((r.row.doc_id, r.row.text, round(r.score, 9)) for r in toxicity.score(docs, model).collect()) for _ in range(2))
+    assert one == two

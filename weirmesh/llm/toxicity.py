@@ -123,10 +123,15 @@ class Matcher:
                 heads[b[0] * 256 + b[1]] |= bits
                 if len(w) >= FUZZY_LENGTH:
                     tails[b[-2] * 256 + b[-1]] |= bits
+        # a stem's last two bytes may be found where they are in the stem, give or take a letter's bytes
+        ends = np.zeros(65536, np.uint64)
         for w in model.stems:
             b = w.encode()
             heads[b[0] * 256 + b[1]] = np.uint64(2**64 - 1)
-        self.heads, self.tails = heads, tails
+            if len(w) > FUZZY_LENGTH:
+                ends[b[-2] * 256 + b[-1]] |= np.uint64(sum(1 << n for n in range(max(len(b) - 6, 0), min(len(b) + 3, 64))))
+        self.heads, self.tails, self.ends = heads, tails, ends
+        self.deepest = int(np.bitwise_or.reduce(ends)).bit_length()
 
     def __call__(self, w: _Fold) -> np.ndarray:
         word, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -145,7 +150,11 @@ class Matcher:
         head = d[s] * 256 + d[np.minimum(s + 1, end)] if len(fresh) else np.zeros(0, np.int32)
         tail = d[np.maximum(e - 2, 0)] * 256 + d[e - 1] if len(fresh) else head
         size = np.minimum(n, 63).astype(np.uint64)
-        try_ = fresh[(n >= 2) & ((((self.heads[head] | self.tails[tail]) >> size) & np.uint64(1)) > 0)]
+        may = (((self.heads[head] | self.tails[tail]) >> size) & np.uint64(1)) > 0
+        for k in range(self.deepest if len(fresh) else 0):
+            pair = d[np.minimum(s + k, end)] * 256 + d[np.minimum(s + k + 1, end)]
+            may |= (n >= k + 2) & (((self.ends[pair] >> np.uint64(k)) & np.uint64(1)) > 0)
+        try_ = fresh[(n >= 2) & may]
         raw = w.data.tobytes()
         for i in try_:
             x = raw[w.starts[at[i]] : w.ends[at[i]]].decode("utf-8", "replace").lower()
@@ -259,6 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
     chosen = marked.filter(F.pmod(h, F.lit(1 << 20)) < rate * (1 << 20)).limit(30 * sample)  # about 3 * sample rows; the limit only proves the bound
     start = F.lit(1) + F.pmod(F.shiftright(h, 20), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int")
     rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select((F.col("toxic") == 1).alias("y"), h.alias("h"), F.substr("text", start, F.lit(chars)).alias("t"))
+    rows = rows.orderBy("h", F.xxhash64("t")).limit(30 * sample)  # an id may stand in many rows
     rows = sorted((bool(r["y"]), r["h"], r["t"]) for r in rows.collect())  # about 3 * sample rows
     model = Model()
     if not rows:
