@@ -61,6 +61,11 @@ def op9_license_passages(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.passages(_table(spark, sf, "documents"))
 
 
+def op9_license_files(spark: SparkSession, sf: str) -> DataFrame:
+    names = _table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return license_scan.scan(license_scan.wrapped_files(names)).select("doc_id", "license")
+
+
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, _table(spark, sf, "benchmark"))
@@ -74,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     more = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
-    return {"op7_mixing": mixing.SQL, "op9_license_scan": license_scan.sql(), "op9_license_passages": license_scan.passages_sql()} | more
+    return {"op7_mixing": mixing.SQL, "op9_license_scan": license_scan.sql(), "op9_license_passages": license_scan.passages_sql(), "op9_license_files": license_scan.files_sql()} | more
