@@ -47,7 +47,9 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 }
 #: Spellings taken for the same.
 SPELLINGS = {
-    "licence": "license", "sub license": "sublicense", "noncommercial": "non commercial", "organisation": "organization", "authorise": "authorize", "favour": "favor", "honour": "honor",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sublicences": "sublicenses", "sub license": "sublicense", "sub licence": "sublicense",
+    "organisations": "organizations", "authorised": "authorized", "authorisation": "authorization", "acknowledgements": "acknowledgments", "copyright owners": "copyright holders",
+    "noncommercial": "non commercial", "organisation": "organization", "authorise": "authorize", "favour": "favor", "honour": "honor",
     "merchantibility": "merchantability", "acknowledgement": "acknowledgment", "non infringement": "noninfringement", "wilful": "willful", "and or": "andor", "copyright owner": "copyright holder",
 }
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"

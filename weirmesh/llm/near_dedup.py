@@ -89,21 +89,23 @@ def _verify(width: int, percent: int, k: int):
 
 
 def _lists(sketches: DataFrame, t: float, k: int) -> DataFrame:
-    """Inverted lists (id, n, c, value): of each document the rarest values that some other retains.
+    """Inverted lists (id, n, c, value, pos): of each document the rarest values that some other retains.
 
     A linked pair shares o retained values, so one of the |sketch| - o + 1 rarest of either; values
-    that no other document retains come first and are of no use. Where neither it nor a partner can
-    outgrow a sketch, c counts all shingles that some other document has; it bounds every overlap.
+    that no other document retains come first and are of no use. value is a struct (df, value), whose
+    order all documents share, and pos its place among the document's values. Where neither it nor a
+    partner can outgrow a sketch, c counts all shingles that some other document has; it bounds every overlap.
     """
     entries = sketches.select(F.col("doc_id").alias("id"), "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     exact = F.col("n") <= F.lit(math.floor(k * t))
     o = F.when(exact, F.ceil(F.col("s") * t)).otherwise(F.least(F.lit(least_overlap(k, t)), F.ceil(F.col("s") * t)))
     own = entries.join(shared, "value").groupBy("id", "n", "s").agg(F.collect_set(F.struct("df", "value")).alias("l"))
-    budget = (F.col("s") - o + 1 - (F.col("s") - F.size("l"))).cast("int")
+    alone = F.col("s") - F.size("l")
     c = F.when(exact, F.size("l")).otherwise(F.col("n")).cast("long")
-    rare = own.withColumns({"m": budget, "c": c}).filter("m > 0").select("id", "n", "c", F.explode(F.slice(F.array_sort("l"), F.lit(1), F.col("m"))).alias("v"))
-    return rare.select("id", "n", "c", "v.value")
+    rare = own.withColumns({"alone": alone, "m": (F.col("s") - o + 1 - alone).cast("int"), "c": c}).filter("m > 0")
+    rare = rare.select("id", "n", "c", "alone", F.posexplode(F.slice(F.array_sort("l"), F.lit(1), F.col("m"))).alias("i", "value"))
+    return rare.select("id", "n", "c", "value", (F.col("alone") + F.col("i") + 1).alias("pos"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fine: int = K_FINE, hub_rounds: int = 3) -> DataFrame:
@@ -154,6 +156,9 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
     # similar sizes, and enough shared shingles on either side for the overlap that a link needs
     size = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
     size &= F.least("c", "c2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    # of two whole sets, the first value they share leaves that overlap behind it in both
+    o = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-6)
+    size &= (F.greatest("n", "n2") > k) | ((F.col("pos") <= F.col("n") - o + 1) & (F.col("pos2") <= F.col("n2") - o + 1))
     pair = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
     comp, edges, tested = None, None, None
     for turn in range(hub_rounds + 1):
@@ -165,15 +170,17 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
         if not left["pairs"]:
             break
         last = turn == hub_rounds or left["pairs"] <= max(2 * left["rows"], 10_000)
-        if last:  # what is left: all members of different components, a pair at its first common value
+        if last:  # what is left: members of different components, a pair at the first value they share
             mixed = by.filter(F.col("all") * F.col("all") > F.col("same")).select("value")
             at = at.join(mixed, "value", "left_semi")
-            at = stage_table(at.join(at.groupBy("id").agg(F.collect_set("value").alias("own")), "id"), "mixed")
-            other = at.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("g").alias("g2"), F.col("own").alias("own2"))
-            pairs = at.join(other, "value").filter("g < g2").filter(size).filter(F.array_min(F.array_intersect("own", "own2")) == F.col("value"))
+            at = stage_table(at.join(at.groupBy("id").agg(F.array_sort(F.collect_list("value"))["value"].alias("own")), "id"), "mixed")
+            other = at.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("g").alias("g2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"))
+            pairs = at.join(other, "value").filter("g < g2").filter(size).filter(F.get(F.array_intersect("own", "own2"), F.lit(0)) == F.col("value.value"))
         else:
-            order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            hubs = at.groupBy("value").agg(F.min(F.struct(order.alias("o"), "id", "n", "c", "g")).alias("h")).select("value", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.c").alias("c2"), F.col("h.g").alias("g2"))
+            # first the member with the fewest values of its own, as the text that others were made from has
+            order = F.struct((F.col("n") - F.col("c")).alias("o"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id")
+            hubs = at.groupBy("value").agg(F.min(F.struct(order.alias("o"), "n", "c", "g", "pos")).alias("h"))
+            hubs = hubs.select("value", F.col("h.o.id").alias("id2"), *[F.col(f"h.{x}").alias(f"{x}2") for x in ("n", "c", "g", "pos")])
             pairs = at.join(hubs, "value").filter("g <> g2")
         pairs = pairs.filter(size).select(*pair).distinct()
         if tested is not None:
