@@ -70,34 +70,81 @@ def test_quality(spark, docs, texts):
     assert quality.judge(odd(spark).limit(0)).count() == 0
 
 
-def test_language_model(spark, texts):
+def kneser_ney(train):
+    """log10 probability of a word after two others, by the formulas and plain dictionaries."""
+    triples = Counter(t for ws in train for t in zip(["<s>", "<s>", *ws], ["<s>", *ws], ws, strict=False))
+    pairs = Counter((b, c) for _, b, c in triples)
+    single = Counter(c for _, c in pairs)
+    four = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+    d = [[0.0, *language_model.discounts(four(c))] for c in (triples, pairs, single)]
+    v = len({w for ws in train for w in ws})
+    sums = [{}, {}]
+    for table, counts in zip(sums, (triples, pairs), strict=True):
+        for key, c in counts.items():
+            x = table.setdefault(key[:-1], [0, 0, 0, 0])
+            x[0] += c
+            x[min(c, 3)] += 1
+
+    def mixed(order, c, ctx, low):
+        if ctx is None:
+            return low
+        return ((c - d[order][min(c, 3)]) + sum(x * y for x, y in zip(d[order][1:], ctx[1:], strict=True)) * low) / ctx[0]
+
+    spare = sum(d[2][min(c, 3)] for c in single.values()) / max(len(pairs), 1) if pairs else 1.0
+
+    def p(a, b, c):
+        one = (single[c] - d[2][min(single[c], 3)]) / max(len(pairs), 1) + spare / (v + 1)
+        two = mixed(1, pairs[b, c], sums[1].get((b,)), one)
+        return math.log10(mixed(0, triples[a, b, c], sums[0].get((a, b)), two))
+
+    return p
+
+
+@pytest.mark.parametrize(("parts", "hot"), [(None, language_model.HOT), (7, 50), (3, 5)])
+def test_language_model(spark, docs, texts, monkeypatch, parts, hot):
+    """Also with frequent words dealt over several parts."""
+    monkeypatch.setattr(language_model, "HOT", hot)
     tokens = {i: [*WORD.findall(lower(t)), "</s>"] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
-    count = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    pairs = Counter(p for i, ws in tokens.items() if not held[i] for p in zip(["<s>", *ws], ws, strict=False))
-    n, v = sum(count.values()), len(count)
-    four = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
-    context, kinds, cont = Counter(), {}, Counter(b for _, b in pairs)
-    for (a, _), c in pairs.items():
-        context[a] += c
-        kinds.setdefault(a, [0, 0, 0])[min(c, 3) - 1] += 1
-    d, e = [0, *language_model.discounts(four(pairs))], [0, *language_model.discounts(four(cont))]
-    spare = sum(e[min(c, 3)] for c in cont.values()) / len(pairs)
-    rows = catalogue.op2_lm_scoring(spark, "/root/testdata/sf0.001").collect()
+    train = [ws for i, ws in tokens.items() if not held[i]]
+    count = Counter(w for ws in train for w in ws)
+    n, v, p = sum(count.values()), len(count), kneser_ney(train)
+    model = language_model.build(docs.filter(~language_model.held_out()), parts)
+    assert (len(model.hot.words) > 0) == (hot < 1000)
+    rows = language_model.score(docs, model).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        ws, p = tokens[r.doc_id], 0.0
-        for a, b in zip(["<s>", *ws], ws, strict=False):
-            low = ((cont[b] - e[min(cont[b], 3)]) / len(pairs) if cont[b] else 0) + spare / (v + 1)
-            back = sum(x * y for x, y in zip(d[1:], kinds[a], strict=True)) / context[a] if a in context else 1
-            own = (pairs[a, b] - d[min(pairs[a, b], 3)]) / context[a] if pairs[a, b] else 0
-            p += math.log10(own + back * low)
+        ws = tokens[r.doc_id]
+        score = sum(p(*t) for t in zip(["<s>", "<s>", *ws], ["<s>", *ws], ws, strict=False))
         base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(count[w] > 0 for w in ws), n, held[r.doc_id])
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(p, rel=1e-6)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=1e-6) and r.perplexity == pytest.approx(10 ** (-score / len(ws)), rel=1e-6)
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def test_packed_counts():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 7, 100_000):
+        keys = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        n, m = (rng.integers(1, 2000, len(keys)).astype(np.uint64) ** k for k in (1, 3))
+        t = language_model.Packed(memoryview(language_model.pack(keys, [n, m])), 0, 2)
+        got = t(np.concatenate([keys, keys + np.uint64(1 << 40)]))
+        for x, want in zip(got, (n, m), strict=True):
+            assert (x[: len(keys)] == want).all() and not x[len(keys) :].any()
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = ["a b c a b d", "b c a", "", "d d d a"]
+    model = language_model.build(spark.createDataFrame([(x,) for x in texts], "text string"), 2)
+    words = [w for w in tx.Words(pa.array(["a b c d"], pa.string())).hash] + [language_model.END]
+    for u, v in ((words[0], words[1]), (language_model.START, language_model.START), (words[3], words[3]), (words[2], np.uint64(77))):
+        k = len(words)
+        _, p = language_model.log_probabilities(model, np.full(k, u), np.full(k, v), np.array(words))
+        # the rest is for words that were never seen, each as likely as one
+        _, none = language_model.log_probabilities(model, np.array([u]), np.array([v]), np.array([np.uint64(99)]))
+        assert sum(10**p) + 10 ** none[0] == pytest.approx(1, abs=1e-9)
+
+
 def test_language_model_on_odd_rows(spark):
     d = odd(spark)
     for train in (d, d.limit(0)):

@@ -1,17 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, scored from mapped files.
-
-Words are hashed. Every task counts the words and pairs of its texts; the counts are dealt as
-sorted arrays by hash and merged, and each part of the model is written as sorted hash arrays to
-the shared folder. Scoring tasks map those files into memory and look up sorted queries, so a
-worker holds no table of its own, whatever the model's size.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark, scored from mapped files.
+
+Words are hashed. Every task counts the triples of its texts; the counts are dealt by the middle
+word, so that all triples around it meet: those that share a context, and those that end in the same
+pair. A middle word with very many triples is dealt further by the word before it, and only its
+pairs are counted once more. Each part of the model is a file of sorted hash arrays in the shared
+folder: a directory by the first bits of the hash, 32 bits more for each entry, counts of one byte,
+and lists of the few that are larger. Scoring tasks map those files into memory, so a worker holds no
+table of its own, whatever the model's size.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
-import tempfile
 import urllib.parse
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirmesh.llm import text as tx
-from weirmesh.plans.staging import new_path, stage_table
+from weirmesh.plans.staging import new_path, stage_table, unstage
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)  # not words
 LOW48 = np.uint64((1 << 48) - 1)
-PIECE = 8_000_000
+PIECE = 4_000_000  # bytes of text counted at once
+PART_BYTES = 8_000_000  # of text, for each part of the model
+HOT = 200_000  # occurrences of a word, above which its triples are dealt further
+KEPT = 256  # files that a worker keeps open
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -37,22 +44,57 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
 
 
-def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return tx.combine([u, v & LOW48])
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return tx.combine([v, w & LOW48])
+
+
+def context_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return tx.combine([v, u & LOW48, v])
+
 
+def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return tx.combine([v, u & LOW48, w & LOW48, v])
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all texts' words, each text followed by END; of the token before each; token counts."""
+
+@dataclass
+class Hot:
+    """Frequent words in order, and over how many parts each is dealt."""
+
+    words: np.ndarray
+    splits: np.ndarray
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is frequent, and its place."""
+        if not len(self.words):
+            return np.zeros(len(v), bool), np.zeros(len(v), np.int64)
+        at = np.minimum(np.searchsorted(self.words, v), len(self.words) - 1)
+        return self.words[at] == v, at
+
+    def route(self, u: np.ndarray, v: np.ndarray, parts: int) -> np.ndarray:
+        """The part of a triple, by its middle word and, where that is frequent, the word before it."""
+        is_hot, at = self.find(v)
+        key = v.copy()
+        if is_hot.any():
+            salt = tx.mix((u & LOW48)[is_hot]) % self.splits[at[is_hot]]
+            key[is_hot] = tx.combine([v[is_hot], salt])
+        return part_of(key, parts)
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, each text followed by END; of the two tokens before each, the
+    farther first; token counts."""
     w = tx.Words(column)
     ends = w.at[1:] + np.arange(1, len(w.n) + 1) - 1
-    v = np.full(len(w.hash) + len(w.n), END, np.uint64)
-    inner = np.ones(len(v), bool)
+    t = np.full(len(w.hash) + len(w.n), END, np.uint64)
+    inner = np.ones(len(t), bool)
     inner[ends] = False
-    v[inner] = w.hash
-    u = np.empty_like(v)
-    u[1:] = v[:-1]
-    u[np.concatenate([[0], ends[:-1] + 1])[: len(w.n)]] = START
-    return v, u, w.n + 1
+    t[inner] = w.hash
+    first = np.concatenate([[0], ends[:-1] + 1])[: len(w.n)]
+    before, second = np.empty_like(t), np.empty_like(t)
+    before[1:], second[2:] = t[:-1], t[:-2]
+    before[first] = second[first] = START
+    second[(first + 1)[first < ends]] = START
+    return second, before, t, w.n + 1
 
 
 def save(path: str, data: bytes) -> None:
@@ -72,143 +114,282 @@ def save(path: str, data: bytes) -> None:
         f.write(data)
 
 
-_mapped: dict[str, np.ndarray] = {}
+def pack(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Sorted 64-bit keys with counts as one block of bytes."""
+    n = len(keys)
+    bits = min(max(n.bit_length() - 4, 1), 24)
+    ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    out = [np.array([n, bits], np.uint64).tobytes(), ends.astype(np.uint32).tobytes(), (keys >> np.uint64(32 - bits)).astype(np.uint32).tobytes()]
+    for c in columns:
+        large = np.flatnonzero(c > 254)
+        out += [np.minimum(c, 255).astype(np.uint8).tobytes(), np.array([len(large)], np.uint64).tobytes(), large.astype(np.uint32).tobytes(), c[large].astype(np.uint64).tobytes()]
+    return b"".join(out)
+
+
+class Packed:
+    """What pack made, read in place."""
+
+    def __init__(self, raw: memoryview | mmap.mmap, at: int, width: int) -> None:
+        def take(kind: type, n: int) -> np.ndarray:
+            nonlocal at
+            a = np.ndarray(n, kind, raw, at)
+            at += a.nbytes
+            return a
+
+        n, self.bits = map(int, take(np.uint64, 2))
+        self.ends, self.rest = take(np.uint32, (1 << self.bits) + 1), take(np.uint32, n)
+        self.columns = []
+        for _ in range(width):
+            small = take(np.uint8, n)
+            m = int(take(np.uint64, 1)[0])
+            self.columns.append((small, take(np.uint32, m), take(np.uint64, m)))
+        self.end = at
+
+    def __call__(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Counts at keys, 0 where absent."""
+        top = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        rest = (keys >> np.uint64(32 - self.bits)).astype(np.uint32)
+        lo, hi = self.ends[top].astype(np.int64), self.ends[top + 1].astype(np.int64)
+        stop = hi.copy()
+        while (open_ := lo < hi).any():
+            mid = np.where(open_, (lo + hi) // 2, 0)
+            low = open_ & (self.rest[mid] < rest)
+            lo, hi = np.where(low, mid + 1, lo), np.where(open_ & ~low, mid, hi)
+        found = np.flatnonzero(lo < stop)
+        found = found[self.rest[lo[found]] == rest[found]]
+        at, out = lo[found], []
+        for small, large, values in self.columns:
+            c = small[at].astype(np.float64)
+            over = np.flatnonzero(c == 255)
+            if len(over):
+                c[over] = values[np.searchsorted(large, at[over])]
+            full = np.zeros(len(keys))
+            full[found] = c
+            out.append(full)
+        return out
+
+
+#: Tables of each kind of file, with their numbers of columns.
+FILES = {"word": {"word": 1}, "part": {"triple": 1, "context": 4, "pair": 1, "before": 4}, "hot": {"pair": 1}, "last": {"continuation": 1}, "hot_before": {"before": 4}}
+_open: OrderedDict[str, dict[str, Packed]] = OrderedDict()
+
+
+def load(path: str, tables: dict[str, int]) -> dict[str, Packed]:
+    """A file's tables: mapped, or read where the store can't be mapped; the files used least lately are let go."""
+    if path in _open:
+        _open.move_to_end(path)
+        return _open[path]
+    where = urllib.parse.urlparse(path)
+    if where.scheme in ("", "file"):
+        with open(where.path, "rb") as f:
+            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        from pyarrow import fs
+
+        store, p = fs.FileSystem.from_uri(path)
+        with store.open_input_file(p) as f:
+            raw = f.read()
+    out, at = {}, 0
+    for name, width in tables.items():
+        out[name] = Packed(raw, at, width)
+        at = out[name].end
+    _open[path] = out
+    while len(_open) > KEPT:
+        _open.popitem(last=False)
+    return out
 
 
-def load(path: str, kind: np.dtype) -> np.ndarray:
-    """A file as a mapped array; one in a remote store is fetched once for each worker."""
-    if path not in _mapped:
-        where = urllib.parse.urlparse(path)
-        local = where.path
-        if where.scheme not in ("", "file"):
-            from pyarrow import fs
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys, and where each new one begins in it."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    return order, np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
 
-            store, p = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(p) as f, tempfile.NamedTemporaryFile(delete=False) as g:
-                while chunk := f.read(1 << 24):
-                    g.write(chunk)
-            local = g.name
-        _mapped[path] = np.memmap(local, kind, "r") if os.path.getsize(local) else np.zeros(0, kind)
-    return _mapped[path]
 
+def _sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values.astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(counts[order], first) if len(k) else counts[:0]
 
+def _kinds(n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Sum, and how many are 1, 2 and more, of each group of counts."""
+    return [_sum(n, first), *[_sum(x, first) for x in (n == 1, n == 2, n > 2)]]
 
-_BLOBS = ["part", "words", "counts", "u", "run", "v", "c"]
-_BLOBS_SQL = "part int, words binary, counts binary, u binary, run binary, v binary, c binary"
 
+def _four(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
-def _count(parts: int):
-    """For each piece of text and part: words and counts; contexts u, how many pairs each has, and their v and c."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.pieces(batches, "text", PIECE):
-            v, u, _ = tokens(b.column("text"))
-            word, n = np.unique(v, return_counts=True)
-            key = pair_key(u, v)
-            _, at, c = np.unique(key, return_index=True, return_counts=True)
-            u, v = u[at], v[at] & LOW48
-            order = np.argsort(u, kind="stable")
-            u, v, c = u[order], v[order], c[order]
-            to_w, to_u = part_of(word, parts), part_of(u, parts)
-            wo, uo = np.argsort(to_w, kind="stable"), np.argsort(to_u, kind="stable")
-            we, ue = (np.searchsorted(x, np.arange(parts + 1)) for x in (to_w[wo], to_u[uo]))
-            rows = []
-            for p in range(parts):
-                i, j = wo[we[p] : we[p + 1]], uo[ue[p] : ue[p + 1]]
-                if len(i) or len(j):
-                    first = np.flatnonzero(np.append(True, u[j][1:] != u[j][:-1])) if len(j) else np.zeros(0, np.int64)
-                    run = np.diff(np.append(first, len(j))).astype(np.uint32)
-                    v6 = v[j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows.append((p, word[i].tobytes(), n[i].astype(np.uint32).tobytes(), u[j][first].tobytes(), run.tobytes(), v6.tobytes(), c[j].astype(np.uint32).tobytes()))
-            kinds = [pa.int32(), *[pa.binary()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], _BLOBS)
+def _six(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel()
 
-    return run
 
+def _deal(to: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that has rows, and which."""
+    order = np.argsort(to, kind="stable")
+    ends = np.searchsorted(to[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(ends)):
+        yield int(p), order[ends[p] : ends[p + 1]]
 
-WORD = np.dtype([("h", "<u8"), ("c", "<u8")])
-CONTEXT = np.dtype([("h", "<u8"), ("c", "<u8"), ("n", "<u4", (3,))])
-CONTINUATION = np.dtype([("h", "<u8"), ("n", "<u8")])
-_META_SQL = "part int, total long, words long, n array<long>, to int, v binary, k binary"
-_META = ["part", "total", "words", "n", "to", "v", "k"]
-_META_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
 
+_WORDS = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+_TRIPLES = pa.schema([("part", pa.int32()), ("v", pa.binary()), ("run", pa.binary()), ("u", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
+_META = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("n", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("k", pa.binary())])
+_WORDS_SQL = "part int, words binary, counts binary"
+_TRIPLES_SQL = "part int, v binary, run binary, u binary, w binary, c binary"
+_META_SQL = "part int, kind string, n array<long>, a binary, b binary, k binary"
 
-def _by_part(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows that come sorted by a column, in groups."""
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Rows that come sorted by part: the bytes of each binary column, joined."""
     last, held = None, []
+    join = lambda: {k: np.frombuffer(b"".join(r[k] for r in held), np.uint8) for k in held[0]}
     for b in batches:
-        for r in b.to_pylist():
-            if r[column] != last and held:
-                yield last, held
+        names = [f.name for f in b.schema if pa.types.is_binary(f.type)]
+        columns = [b.column(c).to_pylist() for c in names]
+        for i, p in enumerate(b.column("part").to_pylist()):
+            if p != last and held:
+                yield last, join()
                 held = []
-            last = r[column]
-            held.append(r)
+            last = p
+            held.append({k: c[i] or b"" for k, c in zip(names, columns, strict=True)})
     if held:
-        yield last, held
+        yield last, join()
+
+
+def _count_words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.pieces(batches, "text", PIECE):
+            word, n = np.unique(tokens(b.column("text"))[2], return_counts=True)
+            yield _batch([(p, word[i].tobytes(), n[i].astype(np.uint32).tobytes()) for p, i in _deal(part_of(word, parts), parts)], _WORDS)
+
+    return run
+
+
+def _write_words(folder: str):
+    """A file for each part; its sums, and its frequent words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, r in _by_part(batches):
+            h, n = r["words"].view(np.uint64), r["counts"].view(np.uint32)
+            order, first = _groups(h)
+            h, n = h[order][first], _sum(n[order], first)
+            save(f"{folder}/word-{p}", pack(h, [n]))
+            hot = n > HOT
+            yield _batch([(p, "word", [int(n.sum()), len(h)], h[hot].tobytes(), None, n[hot].tobytes())], _META)
+
+    return run
+
+
+def _count_triples(parts: int, hot: Hot):
+    """For each piece of text and part: middle words, how many triples each has, and their u, w and c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tx.pieces(batches, "text", PIECE):
+            u, v, w, _ = tokens(b.column("text"))
+            _, at, c = np.unique(triple_key(u, v, w), return_index=True, return_counts=True)
+            u, v, w = u[at], v[at], w[at]
+            order = np.argsort(v, kind="stable")
+            u, v, w, c = u[order], v[order], w[order], c[order]
+            rows = []
+            for p, i in _deal(hot.route(u, v, parts), parts):
+                first = np.flatnonzero(np.append(True, v[i][1:] != v[i][:-1]))
+                rows.append((p, v[i][first].tobytes(), np.diff(np.append(first, len(i))).astype(np.uint32).tobytes(), _six(u[i]), _six(w[i]), c[i].astype(np.uint32).tobytes()))
+            yield _batch(rows, _TRIPLES)
+
+    return run
+
+
+def _continuations(w: np.ndarray, parts: int) -> list[tuple]:
+    """Rows that tell how many of these distinct pairs end in each word."""
+    word, k = np.unique(w, return_counts=True)
+    return [(p, "continuation", None, word[i].tobytes(), None, k[i].astype(np.uint32).tobytes()) for p, i in _deal(part_of(word, parts), parts)]
+
+
+def _write_part(parts: int, folder: str, hot: Hot):
+    """Merges a part's triples and writes its file. Out come how many triples and pairs have the counts
+    1 to 4, the pairs of frequent words, and the other pairs' continuations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, r in _by_part(batches):
+            v, u, w = np.repeat(r["v"].view(np.uint64), r["run"].view(np.uint32)), _from_six(r["u"]), _from_six(r["w"])
+            key = triple_key(u, v, w)
+            order, first = _groups(key)
+            n = _sum(r["c"].view(np.uint32)[order], first)
+            key, u, v, w = (x[order][first] for x in (key, u, v, w))
+            blob = pack(key, [n])
+            ctx = context_key(u, v)
+            order, first = _groups(ctx)
+            blob += pack(ctx[order][first], _kinds(n[order], first))
+            pair = pair_key(v, w)
+            order, first = _groups(pair)
+            many = np.diff(np.append(first, len(order))).astype(np.uint64)
+            pair, v, w = pair[order][first], v[order][first], w[order][first]
+            is_hot, _ = hot.find(v)
+            own = ~is_hot
+            blob += pack(pair[own], [many[own]])
+            order, first = _groups(v[own])
+            blob += pack(v[own][order][first], _kinds(many[own][order], first))
+            save(f"{folder}/part-{p}", blob)
+            rows = [(p, "triples", _four(n), None, None, None), (p, "pairs", [*_four(many[own]), int(own.sum())], None, None, None)]
+            rows += [(q, "hot", None, v[is_hot][i].tobytes(), _six(w[is_hot][i]), many[is_hot][i].astype(np.uint32).tobytes()) for q, i in _deal(part_of(pair[is_hot], parts), parts)]
+            yield _batch(rows + _continuations(w[own], parts), _META)
+
+    return run
 
-def _write(parts: int, folder: str):
-    """Merges a part's counts, writes its files and passes on its sums and its words' contexts."""
+
+def _write_hot(parts: int, folder: str):
+    """Adds up the pairs of frequent words; out come their continuations and sums by first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, rows in _by_part(batches, "part"):
-            cat = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])  # noqa: E731, B023
-            h, c = _merge(cat("words", np.uint64), cat("counts", np.uint32).astype(np.uint64))
-            word = np.empty(len(h), WORD)
-            word["h"], word["c"] = h, c
-            save(f"{folder}/word-{p}", word.tobytes())
-            u = np.repeat(cat("u", np.uint64), cat("run", np.uint32))
-            v8 = np.zeros((len(u), 8), np.uint8)
-            v8[:, :6] = cat("v", np.uint8).reshape(-1, 6)
-            v = v8.view("<u8").ravel()
-            n = cat("c", np.uint32).astype(np.uint64)
-            key = pair_key(u, v)
-            order = np.argsort(key, kind="stable")
-            key, u, v, n = key[order], u[order], v[order], n[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            n = np.add.reduceat(n, first) if len(first) else n
-            key, u, v = key[first], u[first], v[first]
-            save(f"{folder}/pair-{p}", key.tobytes() + n.astype("<u4").tobytes())
-            order = np.argsort(u, kind="stable")
-            su, sn = u[order], n[order]
-            first = np.flatnonzero(np.append(True, su[1:] != su[:-1])) if len(su) else np.zeros(0, np.int64)
-            ctx = np.empty(len(first), CONTEXT)
-            if len(first):
-                ctx["h"], ctx["c"] = su[first], np.add.reduceat(sn, first)
-                for k in range(3):
-                    ctx["n"][:, k] = np.add.reduceat((sn == k + 1) if k < 2 else (sn >= 3), first, dtype=np.uint32)
-            save(f"{folder}/context-{p}", ctx.tobytes())
-            many = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-            w, k = np.unique(v, return_counts=True)
-            to = part_of(w, parts)
-            out = [(p, int(c.sum()), len(h), many, None, None, None)]
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(parts + 1))
-            for t in range(parts):
-                i = order[ends[t] : ends[t + 1]]
-                if len(i):
-                    out.append((p, None, None, None, t, w[i].tobytes(), k[i].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _META_TYPES, strict=True)], _META)
+        for p, r in _by_part(batches):
+            v, w = r["a"].view(np.uint64), _from_six(r["b"])
+            pair = pair_key(v, w)
+            order, first = _groups(pair)
+            n = _sum(r["k"].view(np.uint32)[order], first)
+            pair, v, w = (x[order][first] for x in (pair, v, w))
+            save(f"{folder}/hot-{p}", pack(pair, [n]))
+            order, first = _groups(v)
+            each = np.stack([v[order][first], *_kinds(n[order], first)], axis=1)
+            rows = [(p, "pairs", [*_four(n), len(n)], None, None, None)]
+            rows += [(q, "before", None, each[i].tobytes(), None, None) for q, i in _deal(part_of(each[:, 0], parts), parts)]
+            yield _batch(rows + _continuations(w, parts), _META)
 
     return run
 
 
-def _continue(folder: str):
+def _write_before(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, rows in _by_part(batches, "to"):
-            h, n = _merge(np.concatenate([np.frombuffer(r["v"], np.uint64) for r in rows]), np.concatenate([np.frombuffer(r["k"], np.uint32) for r in rows]).astype(np.uint64))
-            out = np.empty(len(h), CONTINUATION)
-            out["h"], out["n"] = h, n
-            save(f"{folder}/continuation-{p}", out.tobytes())
-            many = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([many], pa.list_(pa.int64())), pa.array([int((n > 2).sum())], pa.int64())], ["part", "total", "words", "n", "n3"])
+        for p, r in _by_part(batches):
+            each = r["a"].view(np.uint64).reshape(-1, 5)
+            order, first = _groups(each[:, 0])
+            save(f"{folder}/hot_before-{p}", pack(each[order][first, 0], [_sum(each[order, k], first) for k in range(1, 5)]))
+            yield _batch([(p, "done", None, None, None, None)], _META)
+
+    return run
+
+
+def _write_continuations(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, r in _by_part(batches):
+            h, n = r["a"].view(np.uint64), r["k"].view(np.uint32)
+            order, first = _groups(h)
+            n = _sum(n[order], first)
+            # the low 48 bits of a hash are spread anew, as the directory goes by the first bits
+            key = tx.mix(h[order][first])
+            sort = np.argsort(key)
+            save(f"{folder}/last-{p}", pack(key[sort], [n[sort]]))
+            yield _batch([(p, "last", [*_four(n), int((n > 2).sum()), int(n.sum())], None, None, None)], _META)
 
     return run
 
@@ -226,97 +407,122 @@ def discounts(n: list[int]) -> list[float]:
 class Model:
     folder: str
     parts: int
-    present: dict[str, list[int]]
+    present: dict[str, np.ndarray]  # by kind of file, whether each part has one
+    hot: Hot
     total: int  # N
     words: int  # V
-    d: list[float]
-    e: list[float]  # discounts of continuation counts
+    d: list[list[float]]  # discounts of triples, of pairs and of words
     pairs: int
-    spare: float  # mass that those discounts leave for unseen words
+    spare: float  # mass that the words' discounts leave for unseen words
 
 
 def build(texts: DataFrame, parts: int | None = None) -> Model:
-    """Counts all of texts(text). Null texts count as empty; each text ends in one end token."""
+    """Counts all of texts(text). Null texts count as empty; each text ends in one end token.
+
+    parts follows from the texts' size. Frequent words are at most one for every HOT tokens; the
+    driver holds these and a few numbers for each part.
+    """
     spark = texts.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.select("text")
+    if parts is None:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        parts = max(1, -(-size // PART_BYTES))
     folder = new_path(spark, "model")
-    rows = texts.select("text").mapInArrow(_count(parts), _BLOBS_SQL)
-    meta = stage_table(rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_write(parts, folder), _META_SQL), "counts")
-    sums = meta.filter("total is not null").drop("to", "v", "k").collect()  # a row for each part
-    last = meta.filter("to is not null").select("to", "v", "k").repartition(parts, "to").sortWithinPartitions("to")
-    cont = stage_table(last.mapInArrow(_continue(folder), "part int, total long, words long, n array<long>, n3 long"), "continuations").collect()  # a row for each part
-    four = lambda rs: [sum(r["n"][k] for r in rs) for k in range(4)]
-    d, e = discounts(four(sums)), discounts(four(cont))
-    pairs, n = sum(r["total"] for r in cont), four(cont)
-    spare = (e[0] * n[0] + e[1] * n[1] + e[2] * sum(r["n3"] for r in cont)) / pairs if pairs else 1.0
-    there = {"word": [r["part"] for r in sums], "continuation": [r["part"] for r in cont]}
-    return Model(folder, parts, there | {"pair": there["word"], "context": there["word"]}, sum(r["total"] for r in sums), sum(r["words"] for r in sums), d, e, pairs, spare)
-
-
-def _look(model: Model, name: str, keys: np.ndarray, routes: np.ndarray) -> list[np.ndarray]:
-    """Values of sorted-array files at keys, 0 where absent; queries go in sorted, part by part."""
-    kind = {"word": WORD, "context": CONTEXT, "continuation": CONTINUATION}.get(name)
-    width = 4 if name == "context" else 1
-    out = [np.zeros(len(keys), np.float64) for _ in range(width)]
-    there = set(model.present[name])
-    order = np.argsort(routes, kind="stable")
-    ends = np.searchsorted(routes[order], np.arange(model.parts + 1))
-    for p in range(model.parts):
-        i = order[ends[p] : ends[p + 1]]
-        if not len(i) or p not in there:
-            continue
-        path = f"{model.folder}/{name}-{p}"
-        if kind is None:
-            raw = load(path, np.dtype(np.uint8))
-            n = len(raw) // 12
-            h, values = raw[: 8 * n].view(np.uint64), [raw[8 * n :].view(np.uint32)]
-        else:
-            t = load(path, kind)
-            h = t["h"]
-            values = [t["c"], t["n"][:, 0], t["n"][:, 1], t["n"][:, 2]] if name == "context" else [t["c" if name == "word" else "n"]]
-        if not len(h):
-            continue
-        q = keys[i]
-        s = np.argsort(q)
-        at = np.minimum(np.searchsorted(h, q[s]), len(h) - 1)
-        hit = h[at] == q[s]
-        for o, x in zip(out, values, strict=True):
-            o[i[s[hit]]] = x[at[hit]]
+    meet = lambda df, f: df.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(f, _META_SQL)
+    words = stage_table(meet(texts.mapInArrow(_count_words(parts), _WORDS_SQL), _write_words(folder)), "words")
+    rows = words.collect()  # a row for each part
+    unstage(words)
+    seen, often = (np.concatenate([np.frombuffer(r[c] or b"", np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64) for c in ("a", "k"))
+    order = np.argsort(seen)
+    hot = Hot(seen[order], often[order] // np.uint64(HOT) + np.uint64(2))
+    present = {"word": [r["part"] for r in rows]}
+    total, distinct = (sum(r["n"][k] for r in rows) for k in (0, 1))
+    first = stage_table(meet(texts.mapInArrow(_count_triples(parts, hot), _TRIPLES_SQL), _write_part(parts, folder, hot)), "counts")
+    second = stage_table(meet(first.filter("kind = 'hot'"), _write_hot(parts, folder)), "hot_counts")
+    third = stage_table(meet(second.filter("kind = 'before'"), _write_before(folder)), "hot_before")
+    both = first.filter("kind = 'continuation'").unionByName(second.filter("kind = 'continuation'"))
+    last = stage_table(meet(both, _write_continuations(folder)), "continuations")
+    sums = [r for df in (first, second, third, last) for r in df.filter("kind not in ('hot', 'before', 'continuation')").select("part", "kind", "n").collect()]  # a few rows for each part
+    of = {df: [r["part"] for r in sums if r["kind"] == kind] for df, kind in (("part", "triples"), ("last", "last"), ("hot_before", "done"))}
+    of["hot"] = [r["part"] for r in second.filter("kind = 'pairs'").select("part").collect()]
+    for df in (first, second, third, last):
+        unstage(df)
+    add = lambda kind, n: [sum(r["n"][k] for r in sums if r["kind"] == kind) for k in range(n)]
+    triples, pairs, single = add("triples", 4), add("pairs", 5), add("last", 6)
+    d = [discounts(triples), discounts(pairs[:4]), discounts(single[:4])]
+    spare = (d[2][0] * single[0] + d[2][1] * single[1] + d[2][2] * single[4]) / single[5] if single[5] else 1.0
+    flags = {k: np.isin(np.arange(parts), v) for k, v in (present | of).items()}
+    return Model(folder, parts, flags, hot, total, distinct, d, single[5], spare)
+
+
+def _look(model: Model, kind: str, table: str, keys: np.ndarray, routes: np.ndarray) -> list[np.ndarray]:
+    """Counts at keys out of the files they are routed to, 0 where absent."""
+    out = [np.zeros(len(keys)) for _ in range(FILES[kind][table])]
+    for p, i in _deal(routes, model.parts):
+        if model.present[kind][p]:
+            for o, x in zip(out, load(f"{model.folder}/{kind}-{p}", FILES[kind])[table](keys[i]), strict=True):
+                o[i] = x
     return out
 
 
+def _mixed(model: Model, order: int, count: np.ndarray, context: list[np.ndarray], below: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities: the discounted count of its context, and the rest of it as the lower order has it."""
+    d = model.d[order]
+    own = np.select([count == 0, count == 1, count == 2], [0.0, 1 - d[0], 2 - d[1]], count - d[2])
+    total, n1, n2, n3 = context
+    there = np.maximum(total, 1)
+    return own / there + np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / there, 1.0) * below
+
+
+def log_probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of w, and log10 of its probability after u, v."""
+    word, w_of = np.unique(w, return_inverse=True)
+    (count,) = _look(model, "word", "word", word, part_of(word, model.parts))
+    low = word & LOW48
+    (cont,) = _look(model, "last", "continuation", tx.mix(low), part_of(low, model.parts))
+    d = model.d[2]
+    p1 = np.select([cont == 0, cont == 1, cont == 2], [0.0, 1 - d[0], 2 - d[1]], cont - d[2]) / max(model.pairs, 1) + model.spare / (model.words + 1)
+
+    key, at, p_of = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
+    a, b = v[at], w_of[at]
+    is_hot, _ = model.hot.find(a)
+    (many,) = _look(model, "part", "pair", key, part_of(a, model.parts))
+    before = _look(model, "part", "before", a, part_of(a, model.parts))
+    if is_hot.any():
+        (many[is_hot],) = _look(model, "hot", "pair", key[is_hot], part_of(key[is_hot], model.parts))
+        for x, y in zip(before, _look(model, "hot_before", "before", a[is_hot], part_of(a[is_hot], model.parts)), strict=True):
+            x[is_hot] = y
+    p2 = _mixed(model, 1, many, before, p1[b])
+
+    key, at, t_of = np.unique(triple_key(u, v, w), return_index=True, return_inverse=True)
+    to = model.hot.route(u[at], v[at], model.parts)
+    (n,) = _look(model, "part", "triple", key, to)
+    p3 = _mixed(model, 0, n, _look(model, "part", "context", context_key(u[at], v[at]), to), p2[p_of[at]])
+    return count[w_of], np.log10(p3)[t_of]
+
+
 def _score(model: Model):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.pieces(batches, "text", PIECE // 4):
-            v, u, n = tokens(b.column("text"))
-            word, w_of = np.unique(v, return_inverse=True)
-            (count,) = _look(model, "word", word, part_of(word, model.parts))
-            low = word & LOW48
-            (cont,) = _look(model, "continuation", low, part_of(low, model.parts))
-            off = np.select([cont == 0, cont == 1, cont == 2], [0.0, model.e[0], model.e[1]], model.e[2])
-            uniform = 1 / (model.words + 1)
-            below = (cont - off) / max(model.pairs, 1) + model.spare * uniform
-            ctx, c_of = np.unique(u, return_inverse=True)
-            cu, n1, n2, n3 = _look(model, "context", ctx, part_of(ctx, model.parts))
-            back = np.where(cu > 0, (model.d[0] * n1 + model.d[1] * n2 + model.d[2] * n3) / np.maximum(cu, 1), 1.0)
-            key, at, k_of = np.unique(pair_key(u, v), return_index=True, return_inverse=True)
-            (c,) = _look(model, "pair", key, part_of(u[at], model.parts))
-            own = np.select([c == 0, c == 1, c == 2], [0.0, 1 - model.d[0], 2 - model.d[1]], c - model.d[2])
-            p = own[k_of] / np.maximum(cu, 1)[c_of] + back[c_of] * below[w_of]
+        for b in tx.pieces(batches, "text"):
+            u, v, w, n = tokens(b.column("text"))
+            count, p = log_probabilities(model, u, v, w)
             first = np.cumsum(n) - n
-            base = np.log10((count + 0.5) / (model.total + 0.5 * (model.words + 1)))[w_of]
-            sums = [np.add.reduceat(x, first) for x in ((count > 0)[w_of].astype(np.int64), base, np.log10(p))]
-            cols = [b.column("doc_id"), b.column("held_out"), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(n), model.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            base = np.log10((count + 0.5) / (model.total + 0.5 * (model.words + 1)))
+            known, base, p = (np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), base, p))
+            with np.errstate(over="ignore"):
+                cols = [b.column("doc_id"), b.column("held_out"), *map(pa.array, (n.astype(np.int64), known, np.full(len(n), model.total, np.int64), base, p, 10.0 ** (-p / n)))]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, token counts and log10 probabilities for every row of docs(doc_id, text, ..).
+    """doc_id, held_out, token counts, log10 probabilities and perplexity for every row of docs(doc_id, text, ..).
 
     A null or empty text is one end token. Repeated rows get equal scores. A model of no text gives
     every token probability 1 / (V + 1) = 1. Perplexity is 10 ** (-score / n_tokens).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
