@@ -37,13 +37,14 @@ def track(path: str) -> str:
 
 
 def stage_table(df: DataFrame, name: str, free: bool = True) -> DataFrame:
-    """Writes df once and returns the table that was written; free has shuffle files that led to it deleted."""
+    """Writes df once and returns the table that was written; free has Spark first delete the shuffle
+    files of earlier plans that nothing refers to any more."""
     spark = df.sparkSession
+    if free:
+        spark.sparkContext._jvm.System.gc()
     path = new_path(spark, name)
     df.write.parquet(path)
     _written.append(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()  # what led here is no longer needed; its shuffle files can go
     return spark.read.schema(df.schema).parquet(path)
 
 
