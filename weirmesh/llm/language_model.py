@@ -28,10 +28,10 @@ from weirmesh.llm import text as tx
 from weirmesh.plans.staging import new_path, stage_table, unstage
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)  # not words
-LOW48 = np.uint64((1 << 48) - 1)
-PIECE = 4_000_000  # bytes of text counted at once
+PIECE = 6_000_000  # bytes of text counted at once
 PART_BYTES = 8_000_000  # of text, for each part of the model
-HOT = 200_000  # occurrences of a word, above which its triples are dealt further
+HOT = 1_000_000  # occurrences of a word, above which its triples are dealt further
+LOW = np.uint64((1 << 40) - 1)  # bits that tell a middle word's neighbours apart
 KEPT = 256  # files that a worker keeps open
 
 
@@ -45,15 +45,15 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return tx.combine([v, w & LOW48])
+    return tx.combine([v, w & LOW])
 
 
 def context_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return tx.combine([v, u & LOW48, v])
+    return tx.combine([v, u & LOW, v])
 
 
 def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return tx.combine([v, u & LOW48, w & LOW48, v])
+    return tx.combine([v, u & LOW, w & LOW, v])
 
 
 @dataclass
@@ -75,7 +75,7 @@ class Hot:
         is_hot, at = self.find(v)
         key = v.copy()
         if is_hot.any():
-            salt = tx.mix((u & LOW48)[is_hot]) % self.splits[at[is_hot]]
+            salt = tx.mix(u[is_hot] & LOW) % self.splits[at[is_hot]]
             key[is_hot] = tx.combine([v[is_hot], salt])
         return part_of(key, parts)
 
@@ -170,7 +170,7 @@ class Packed:
 
 
 #: Tables of each kind of file, with their numbers of columns.
-FILES = {"word": {"word": 1}, "part": {"triple": 1, "context": 4, "pair": 1, "before": 4}, "hot": {"pair": 1}, "last": {"continuation": 1}, "hot_before": {"before": 4}}
+FILES = {"part": {"triple": 1, "context": 4, "pair": 1, "before": 4}, "hot": {"pair": 1}, "word": {"word": 1}, "last": {"continuation": 1}, "hot_before": {"before": 4}}
 _open: OrderedDict[str, dict[str, Packed]] = OrderedDict()
 
 
@@ -219,16 +219,6 @@ def _four(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _six(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from_six(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _deal(to: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that has rows, and which."""
     order = np.argsort(to, kind="stable")
@@ -238,7 +228,7 @@ def _deal(to: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 _WORDS = pa.schema([("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-_TRIPLES = pa.schema([("part", pa.int32()), ("v", pa.binary()), ("run", pa.binary()), ("u", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
+_TRIPLES = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("v", "run", "u", "w", "c")]])
 _META = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("n", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("k", pa.binary())])
 _WORDS_SQL = "part int, words binary, counts binary"
 _TRIPLES_SQL = "part int, v binary, run binary, u binary, w binary, c binary"
@@ -250,21 +240,24 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Rows that come sorted by part: the bytes of each binary column, joined."""
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict[str, bytes]]]]:
+    """Rows that come sorted by part, in groups, with their binary columns."""
     last, held = None, []
-    join = lambda: {k: np.frombuffer(b"".join(r[k] for r in held), np.uint8) for k in held[0]}
     for b in batches:
         names = [f.name for f in b.schema if pa.types.is_binary(f.type)]
         columns = [b.column(c).to_pylist() for c in names]
         for i, p in enumerate(b.column("part").to_pylist()):
             if p != last and held:
-                yield last, join()
+                yield last, held
                 held = []
             last = p
             held.append({k: c[i] or b"" for k, c in zip(names, columns, strict=True)})
     if held:
-        yield last, join()
+        yield last, held
+
+
+def _joined(rows: list[dict[str, bytes]], column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows), kind)
 
 
 def _count_words(parts: int):
@@ -280,17 +273,28 @@ def _write_words(folder: str):
     """A file for each part; its sums, and its frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, r in _by_part(batches):
-            h, n = r["words"].view(np.uint64), r["counts"].view(np.uint32)
+        for p, rows in _by_part(batches):
+            h, n = _joined(rows, "words", np.uint64), _joined(rows, "counts", np.uint32)
             order, first = _groups(h)
             h, n = h[order][first], _sum(n[order], first)
             save(f"{folder}/word-{p}", pack(h, [n]))
-            hot = n > HOT
-            yield _batch([(p, "word", [int(n.sum()), len(h)], h[hot].tobytes(), None, n[hot].tobytes())], _META)
+            often = n > HOT
+            yield _batch([(p, "words", [int(n.sum()), len(h)], h[often].tobytes(), None, n[often].tobytes())], _META)
 
     return run
 
 
+def _short(a: np.ndarray) -> bytes:
+    """The low bits of hashes, in five bytes each."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_short(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _count_triples(parts: int, hot: Hot):
     """For each piece of text and part: middle words, how many triples each has, and their u, w and c."""
 
@@ -299,38 +303,45 @@ def _count_triples(parts: int, hot: Hot):
             u, v, w, _ = tokens(b.column("text"))
             _, at, c = np.unique(triple_key(u, v, w), return_index=True, return_counts=True)
             u, v, w = u[at], v[at], w[at]
-            order = np.argsort(v, kind="stable")
+            order = np.lexsort((u & LOW, v))
             u, v, w, c = u[order], v[order], w[order], c[order]
             rows = []
             for p, i in _deal(hot.route(u, v, parts), parts):
                 first = np.flatnonzero(np.append(True, v[i][1:] != v[i][:-1]))
-                rows.append((p, v[i][first].tobytes(), np.diff(np.append(first, len(i))).astype(np.uint32).tobytes(), _six(u[i]), _six(w[i]), c[i].astype(np.uint32).tobytes()))
+                rows.append((p, v[i][first].tobytes(), np.diff(np.append(first, len(i))).astype(np.uint32).tobytes(), _short(u[i]), _short(w[i]), c[i].astype(np.uint32).tobytes()))
             yield _batch(rows, _TRIPLES)
 
     return run
 
 
 def _continuations(w: np.ndarray, parts: int) -> list[tuple]:
-    """Rows that tell how many of these distinct pairs end in each word."""
-    word, k = np.unique(w, return_counts=True)
-    return [(p, "continuation", None, word[i].tobytes(), None, k[i].astype(np.uint32).tobytes()) for p, i in _deal(part_of(word, parts), parts)]
+    """Rows that tell how many of these distinct pairs end in each word (its low bits)."""
+    word, k = np.unique(w & LOW, return_counts=True)
+    return [(p, "continuation", None, _short(word[i]), None, k[i].astype(np.uint32).tobytes()) for p, i in _deal(part_of(tx.mix(word), parts), parts)]
 
 
 def _write_part(parts: int, folder: str, hot: Hot):
     """Merges a part's triples and writes its file. Out come how many triples and pairs have the counts
-    1 to 4, the pairs of frequent words, and the other pairs' continuations."""
+    1 to 4, the pairs of frequent words, and the other pairs' continuations.
+
+    A context that occurs once is left out: that its pair of words was seen says as much.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, r in _by_part(batches):
-            v, u, w = np.repeat(r["v"].view(np.uint64), r["run"].view(np.uint32)), _from_six(r["u"]), _from_six(r["w"])
+        for p, rows in _by_part(batches):
+            v = np.repeat(_joined(rows, "v", np.uint64), _joined(rows, "run", np.uint32))
+            u, w = (_from_short(_joined(rows, x, np.uint8)) for x in ("u", "w"))
+            c = _joined(rows, "c", np.uint32)
             key = triple_key(u, v, w)
             order, first = _groups(key)
-            n = _sum(r["c"].view(np.uint32)[order], first)
+            n = _sum(c[order], first)
             key, u, v, w = (x[order][first] for x in (key, u, v, w))
             blob = pack(key, [n])
             ctx = context_key(u, v)
             order, first = _groups(ctx)
-            blob += pack(ctx[order][first], _kinds(n[order], first))
+            kinds = _kinds(n[order], first)
+            keep = (kinds[0] > 1) | (v[order][first] == START)
+            blob += pack(ctx[order][first][keep], [k[keep] for k in kinds])
             pair = pair_key(v, w)
             order, first = _groups(pair)
             many = np.diff(np.append(first, len(order))).astype(np.uint64)
@@ -341,9 +352,9 @@ def _write_part(parts: int, folder: str, hot: Hot):
             order, first = _groups(v[own])
             blob += pack(v[own][order][first], _kinds(many[own][order], first))
             save(f"{folder}/part-{p}", blob)
-            rows = [(p, "triples", _four(n), None, None, None), (p, "pairs", [*_four(many[own]), int(own.sum())], None, None, None)]
-            rows += [(q, "hot", None, v[is_hot][i].tobytes(), _six(w[is_hot][i]), many[is_hot][i].astype(np.uint32).tobytes()) for q, i in _deal(part_of(pair[is_hot], parts), parts)]
-            yield _batch(rows + _continuations(w[own], parts), _META)
+            out = [(p, "triples", _four(n), None, None, None), (p, "pairs", [*_four(many[own]), int(own.sum())], None, None, None)]
+            out += [(q, "hot", None, v[is_hot][i].tobytes(), _short(w[is_hot][i]), many[is_hot][i].astype(np.uint32).tobytes()) for q, i in _deal(part_of(pair[is_hot], parts), parts)]
+            yield _batch(out + _continuations(w[own], parts), _META)
 
     return run
 
@@ -352,26 +363,26 @@ def _write_hot(parts: int, folder: str):
     """Adds up the pairs of frequent words; out come their continuations and sums by first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, r in _by_part(batches):
-            v, w = r["a"].view(np.uint64), _from_six(r["b"])
+        for p, rows in _by_part(batches):
+            v, w = _joined(rows, "a", np.uint64), _from_short(_joined(rows, "b", np.uint8))
             pair = pair_key(v, w)
             order, first = _groups(pair)
-            n = _sum(r["k"].view(np.uint32)[order], first)
+            n = _sum(_joined(rows, "k", np.uint32)[order], first)
             pair, v, w = (x[order][first] for x in (pair, v, w))
             save(f"{folder}/hot-{p}", pack(pair, [n]))
             order, first = _groups(v)
             each = np.stack([v[order][first], *_kinds(n[order], first)], axis=1)
-            rows = [(p, "pairs", [*_four(n), len(n)], None, None, None)]
-            rows += [(q, "before", None, each[i].tobytes(), None, None) for q, i in _deal(part_of(each[:, 0], parts), parts)]
-            yield _batch(rows + _continuations(w, parts), _META)
+            out = [(p, "pairs", [*_four(n), len(n)], None, None, None)]
+            out += [(q, "before", None, each[i].tobytes(), None, None) for q, i in _deal(part_of(each[:, 0], parts), parts)]
+            yield _batch(out + _continuations(w, parts), _META)
 
     return run
 
 
 def _write_before(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, r in _by_part(batches):
-            each = r["a"].view(np.uint64).reshape(-1, 5)
+        for p, rows in _by_part(batches):
+            each = _joined(rows, "a", np.uint64).reshape(-1, 5)
             order, first = _groups(each[:, 0])
             save(f"{folder}/hot_before-{p}", pack(each[order][first, 0], [_sum(each[order, k], first) for k in range(1, 5)]))
             yield _batch([(p, "done", None, None, None, None)], _META)
@@ -381,14 +392,11 @@ def _write_before(folder: str):
 
 def _write_continuations(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, r in _by_part(batches):
-            h, n = r["a"].view(np.uint64), r["k"].view(np.uint32)
+        for p, rows in _by_part(batches):
+            h = tx.mix(_from_short(_joined(rows, "a", np.uint8)))  # spread over all bits, as the directory goes by the first
             order, first = _groups(h)
-            n = _sum(n[order], first)
-            # the low 48 bits of a hash are spread anew, as the directory goes by the first bits
-            key = tx.mix(h[order][first])
-            sort = np.argsort(key)
-            save(f"{folder}/last-{p}", pack(key[sort], [n[sort]]))
+            n = _sum(_joined(rows, "k", np.uint32)[order], first)
+            save(f"{folder}/last-{p}", pack(h[order][first], [n]))
             yield _batch([(p, "last", [*_four(n), int((n > 2).sum()), int(n.sum())], None, None, None)], _META)
 
     return run
@@ -429,30 +437,26 @@ def build(texts: DataFrame, parts: int | None = None) -> Model:
         parts = max(1, -(-size // PART_BYTES))
     folder = new_path(spark, "model")
     meet = lambda df, f: df.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(f, _META_SQL)
-    words = stage_table(meet(texts.mapInArrow(_count_words(parts), _WORDS_SQL), _write_words(folder)), "words")
-    rows = words.collect()  # a row for each part
-    unstage(words)
-    seen, often = (np.concatenate([np.frombuffer(r[c] or b"", np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64) for c in ("a", "k"))
+    counted = stage_table(meet(texts.mapInArrow(_count_words(parts), _WORDS_SQL), _write_words(folder)), "words")
+    rows = counted.collect()  # a row for each part, with its frequent words: at most one for every HOT tokens
+    seen, often = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64) for c in ("a", "k"))
     order = np.argsort(seen)
     hot = Hot(seen[order], often[order] // np.uint64(HOT) + np.uint64(2))
-    present = {"word": [r["part"] for r in rows]}
-    total, distinct = (sum(r["n"][k] for r in rows) for k in (0, 1))
     first = stage_table(meet(texts.mapInArrow(_count_triples(parts, hot), _TRIPLES_SQL), _write_part(parts, folder, hot)), "counts")
     second = stage_table(meet(first.filter("kind = 'hot'"), _write_hot(parts, folder)), "hot_counts")
     third = stage_table(meet(second.filter("kind = 'before'"), _write_before(folder)), "hot_before")
     both = first.filter("kind = 'continuation'").unionByName(second.filter("kind = 'continuation'"))
     last = stage_table(meet(both, _write_continuations(folder)), "continuations")
-    sums = [r for df in (first, second, third, last) for r in df.filter("kind not in ('hot', 'before', 'continuation')").select("part", "kind", "n").collect()]  # a few rows for each part
-    of = {df: [r["part"] for r in sums if r["kind"] == kind] for df, kind in (("part", "triples"), ("last", "last"), ("hot_before", "done"))}
-    of["hot"] = [r["part"] for r in second.filter("kind = 'pairs'").select("part").collect()]
-    for df in (first, second, third, last):
+    sums = [(name, r["part"], r["kind"], r["n"]) for name, df in (("word", counted), ("part", first), ("hot", second), ("hot_before", third), ("last", last))
+            for r in df.filter("kind in ('triples', 'pairs', 'done', 'last', 'words')").select("part", "kind", "n").collect()]  # a few rows for each part
+    for df in (counted, first, second, third, last):
         unstage(df)
-    add = lambda kind, n: [sum(r["n"][k] for r in sums if r["kind"] == kind) for k in range(n)]
-    triples, pairs, single = add("triples", 4), add("pairs", 5), add("last", 6)
-    d = [discounts(triples), discounts(pairs[:4]), discounts(single[:4])]
+    add = lambda kind, n: [sum(x[3][k] for x in sums if x[2] == kind) for k in range(n)]
+    triples, pairs, single, (total, words) = add("triples", 4), add("pairs", 4), add("last", 6), add("words", 2)
+    d = [discounts(triples), discounts(pairs), discounts(single[:4])]
     spare = (d[2][0] * single[0] + d[2][1] * single[1] + d[2][2] * single[4]) / single[5] if single[5] else 1.0
-    flags = {k: np.isin(np.arange(parts), v) for k, v in (present | of).items()}
-    return Model(folder, parts, flags, hot, total, distinct, d, single[5], spare)
+    present = {name: np.isin(np.arange(parts), [x[1] for x in sums if x[0] == name]) for name in FILES}
+    return Model(folder, parts, present, hot, total, words, d, single[5], spare)
 
 
 def _look(model: Model, kind: str, table: str, keys: np.ndarray, routes: np.ndarray) -> list[np.ndarray]:
@@ -478,26 +482,31 @@ def log_probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray)
     """Training counts of w, and log10 of its probability after u, v."""
     word, w_of = np.unique(w, return_inverse=True)
     (count,) = _look(model, "word", "word", word, part_of(word, model.parts))
-    low = word & LOW48
-    (cont,) = _look(model, "last", "continuation", tx.mix(low), part_of(low, model.parts))
+    low = tx.mix(word & LOW)
+    (cont,) = _look(model, "last", "continuation", low, part_of(low, model.parts))
     d = model.d[2]
     p1 = np.select([cont == 0, cont == 1, cont == 2], [0.0, 1 - d[0], 2 - d[1]], cont - d[2]) / max(model.pairs, 1) + model.spare / (model.words + 1)
 
-    key, at, p_of = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
-    a, b = v[at], w_of[at]
+    # pairs at a token's end, and those before it: the latter tell whether its context was seen
+    key, at, p_of = np.unique(np.concatenate([pair_key(v, w), pair_key(u, v)]), return_index=True, return_inverse=True)
+    a = np.concatenate([v, u])[at]
     is_hot, _ = model.hot.find(a)
-    (many,) = _look(model, "part", "pair", key, part_of(a, model.parts))
+    many = _look(model, "part", "pair", key, part_of(a, model.parts))[0]
     before = _look(model, "part", "before", a, part_of(a, model.parts))
     if is_hot.any():
         (many[is_hot],) = _look(model, "hot", "pair", key[is_hot], part_of(key[is_hot], model.parts))
         for x, y in zip(before, _look(model, "hot_before", "before", a[is_hot], part_of(a[is_hot], model.parts)), strict=True):
             x[is_hot] = y
-    p2 = _mixed(model, 1, many, before, p1[b])
+    end, seen = p_of[: len(w)], many[p_of[len(w) :]] > 0
+    p2 = _mixed(model, 1, many[end], [x[end] for x in before], p1[w_of])
 
     key, at, t_of = np.unique(triple_key(u, v, w), return_index=True, return_inverse=True)
     to = model.hot.route(u[at], v[at], model.parts)
     (n,) = _look(model, "part", "triple", key, to)
-    p3 = _mixed(model, 0, n, _look(model, "part", "context", context_key(u[at], v[at]), to), p2[p_of[at]])
+    context = _look(model, "part", "context", context_key(u[at], v[at]), to)
+    once = (context[0] == 0) & seen[at]
+    context[0][once] = context[1][once] = 1
+    p3 = _mixed(model, 0, n, context, p2[at])
     return count[w_of], np.log10(p3)[t_of]
 
 
