@@ -667,3 +667,46 @@ def test_toxicity_ties_and_repeated_labels(spark):
     assert model.terms == toxicity.train(docs.orderBy(F.desc("text")), labels.union(labels)).terms
     one, two = (sorted((r.row.doc_id, r.row.text, round(r.score, 9)) for r in toxicity.score(docs, model).collect()) for _ in range(2))
     assert one == two
+
+
+def leaks(texts, items, window=13, share=0.8):
+    """Every alignment of every item with every text, token by token."""
+    fold = lambda t: "".join(c.lower() if c.isascii() else c for c in (t or "") if True)
+    split = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", fold(t))
+    out = []
+    for t in texts:
+        w, found = split(t), {}
+        for i, item in items:
+            b = split(item)
+            need = min(window, len(b))
+            for shift in range(-len(b), len(w)) if need else ():
+                lo, hi = max(0, -shift), min(len(b), len(w) - shift)
+                same = [w[k + shift] == b[k] for k in range(lo, hi)]
+                if any(sum(same[k : k + need]) >= share * need for k in range(len(same) - need + 1)):
+                    found[i] = max(found.get(i, 0), sum(same))
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 10])
+def test_decontamination_equals_brute_force(spark, block):
+    """Both ways, with repeated rows and items, shared prompts, short items, ties and common words."""
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(40)] + ["é", "Ünit", "x1"]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    prompt = words(9)
+    items = [(k, " ".join(prompt + words(r.randint(4, 14)))) for k in range(12)] + [(20 + k, " ".join(words(k + 1))) for k in range(13)] + [(3, " ".join(words(20))), (50, None), (51, ""), (None, " ".join(words(15)))]
+    texts = [" ".join(words(60)) for _ in range(12)]
+    for k in range(24):
+        item = (r.choice(items)[1] or "a b").split()
+        cut = [w if r.random() > 0.15 else "other" for w in item]
+        texts.append(" ".join(words(r.randint(0, 20)) + cut + words(r.randint(0, 20))))
+    texts += [texts[-1], texts[-2].upper(), None, "", " ".join(prompt * 30)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, items string")
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    got = {x.doc_id: x for x in got.select("row.doc_id", "item_id", "tokens", "items").collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(leaks(texts, items)):
+        assert {x.item_id: x.tokens for x in got[i]["items"]} == want, texts[i]
+        best = min(want.items(), key=lambda x: (x[0] is None, -x[1], x[0] or 0), default=(None, None))
+        assert (got[i].item_id, got[i].tokens) == best
