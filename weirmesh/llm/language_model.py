@@ -221,8 +221,9 @@ def _four(n: np.ndarray) -> list[int]:
 
 def _deal(to: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that has rows, and which."""
+    to = to.astype(np.uint16) if parts <= 1 << 16 else to  # short numbers sort in one pass
     order = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[order], np.arange(parts + 1))
+    ends = np.append(0, np.cumsum(np.bincount(to, minlength=parts)))
     for p in np.flatnonzero(np.diff(ends)):
         yield int(p), order[ends[p] : ends[p + 1]]
 
@@ -487,34 +488,45 @@ def log_probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray)
     d = model.d[2]
     p1 = np.select([cont == 0, cont == 1, cont == 2], [0.0, 1 - d[0], 2 - d[1]], cont - d[2]) / max(model.pairs, 1) + model.spare / (model.words + 1)
 
-    # pairs at a token's end, and those before it: the latter tell whether its context was seen
-    key, at, p_of = np.unique(np.concatenate([pair_key(v, w), pair_key(u, v)]), return_index=True, return_inverse=True)
-    a = np.concatenate([v, u])[at]
-    is_hot, _ = model.hot.find(a)
-    many = _look(model, "part", "pair", key, part_of(a, model.parts))[0]
-    before = _look(model, "part", "before", a, part_of(a, model.parts))
+    pair = pair_key(v, w)
+    to, (is_hot, _) = part_of(v, model.parts), model.hot.find(v)
+    (many,) = _look(model, "part", "pair", pair, to)
+    before = _look(model, "part", "before", v, to)
     if is_hot.any():
-        (many[is_hot],) = _look(model, "hot", "pair", key[is_hot], part_of(key[is_hot], model.parts))
-        for x, y in zip(before, _look(model, "hot_before", "before", a[is_hot], part_of(a[is_hot], model.parts)), strict=True):
+        (many[is_hot],) = _look(model, "hot", "pair", pair[is_hot], part_of(pair[is_hot], model.parts))
+        for x, y in zip(before, _look(model, "hot_before", "before", v[is_hot], to[is_hot]), strict=True):
             x[is_hot] = y
-    end, seen = p_of[: len(w)], many[p_of[len(w) :]] > 0
-    p2 = _mixed(model, 1, many[end], [x[end] for x in before], p1[w_of])
-
-    key, at, t_of = np.unique(triple_key(u, v, w), return_index=True, return_inverse=True)
-    to = model.hot.route(u[at], v[at], model.parts)
-    (n,) = _look(model, "part", "triple", key, to)
-    context = _look(model, "part", "context", context_key(u[at], v[at]), to)
-    once = (context[0] == 0) & seen[at]
+    p2 = _mixed(model, 1, many, before, p1[w_of])
+
+    to = model.hot.route(u, v, model.parts)
+    (n,) = _look(model, "part", "triple", triple_key(u, v, w), to)
+    context = _look(model, "part", "context", context_key(u, v), to)
+    # a context that isn't there was seen once if its pair of words was seen: mostly that of the token before
+    once = np.zeros(len(w), bool)
+    once[1:] = (u[1:] == v[:-1]) & (v[1:] == w[:-1]) & (many[:-1] > 0)
+    rest = np.flatnonzero((context[0] == 0) & ~once & (v != START))
+    rest = rest[~((u[rest] == v[rest - 1]) & (v[rest] == w[rest - 1]) & (rest > 0))]
+    if len(rest):
+        once[rest] = _seen(model, u[rest], v[rest])
+    once &= context[0] == 0
     context[0][once] = context[1][once] = 1
-    p3 = _mixed(model, 0, n, context, p2[at])
-    return count[w_of], np.log10(p3)[t_of]
+    return count[w_of], np.log10(_mixed(model, 0, n, context, p2))
+
+
+def _seen(model: Model, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Whether pairs occur in the training texts."""
+    pair, (is_hot, _) = pair_key(v, w), model.hot.find(v)
+    (many,) = _look(model, "part", "pair", pair, part_of(v, model.parts))
+    if is_hot.any():
+        (many[is_hot],) = _look(model, "hot", "pair", pair[is_hot], part_of(pair[is_hot], model.parts))
+    return many > 0
 
 
 def _score(model: Model):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.pieces(batches, "text"):
+        for b in tx.pieces(batches, "text", PIECE):
             u, v, w, n = tokens(b.column("text"))
             count, p = log_probabilities(model, u, v, w)
             first = np.cumsum(n) - n
