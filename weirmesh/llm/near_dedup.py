@@ -92,8 +92,8 @@ def _lists(sketches: DataFrame, t: float, k: int) -> DataFrame:
     """Inverted lists (id, n, c, value, pos): of each document the rarest values that some other retains.
 
     A linked pair shares o retained values, so one of the |sketch| - o + 1 rarest of either; values
-    that no other document retains come first and are of no use. value is a struct (df, value), whose
-    order all documents share, and pos its place among the document's values. Where neither it nor a
+    that no other document retains come first and are of no use. pos is the value's place among the
+    document's, rare ones first, in an order that all documents share. Where neither it nor a
     partner can outgrow a sketch, c counts all shingles that some other document has; it bounds every overlap.
     """
     entries = sketches.select(F.col("doc_id").alias("id"), "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
@@ -105,7 +105,7 @@ def _lists(sketches: DataFrame, t: float, k: int) -> DataFrame:
     c = F.when(exact, F.size("l")).otherwise(F.col("n")).cast("long")
     rare = own.withColumns({"alone": alone, "m": (F.col("s") - o + 1 - alone).cast("int"), "c": c}).filter("m > 0")
     rare = rare.select("id", "n", "c", "alone", F.posexplode(F.slice(F.array_sort("l"), F.lit(1), F.col("m"))).alias("i", "value"))
-    return rare.select("id", "n", "c", "value", (F.col("alone") + F.col("i") + 1).alias("pos"))
+    return rare.select("id", "n", "c", F.col("value.value").alias("value"), (F.col("alone") + F.col("i") + 1).alias("pos"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fine: int = K_FINE, hub_rounds: int = 3) -> DataFrame:
@@ -132,9 +132,11 @@ def groups(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fin
     t = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     s1 = stage_table(docs.mapInArrow(_sketches(k, width), "doc_id long, h long, n long, digest binary, sketch array<long>"), "sketch")
-    classes = s1.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("rep"))
-    classes = stage_table(classes.select("digest", "rep.doc_id", "rep.h", F.xxhash64("rep.doc_id", "rep.h").alias("id")), "classes")
-    reps = s1.filter("n > 0").join(classes, ["digest", "doc_id", "h"]).select(F.col("id").alias("doc_id"), "n", "sketch")
+    # rows of one class have equal sketches, so any of them will do and none is joined back
+    own = F.min(F.struct("doc_id", "h")).alias("rep")
+    classes = s1.filter("n > 0 and doc_id is not null").groupBy("digest").agg(own, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stage_table(classes.select("digest", "rep.doc_id", "rep.h", F.xxhash64("rep.doc_id", "rep.h").alias("id"), "n", "sketch"), "classes")
+    reps, classes = classes.select(F.col("id").alias("doc_id"), "n", "sketch"), classes.drop("n", "sketch")
     few = stage_table(classes.join(_lists(reps, t, k).select("id").distinct(), "id").select("id", "doc_id", "h"), "few")
     texts = docs.join(few, ["doc_id", "h"]).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text")
     texts = stage_table(texts, "texts")
@@ -173,9 +175,10 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
         if last:  # what is left: members of different components, a pair at the first value they share
             mixed = by.filter(F.col("all") * F.col("all") > F.col("same")).select("value")
             at = at.join(mixed, "value", "left_semi")
-            at = stage_table(at.join(at.groupBy("id").agg(F.array_sort(F.collect_list("value"))["value"].alias("own")), "id"), "mixed")
-            other = at.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("g").alias("g2"), F.col("pos").alias("pos2"), F.col("own").alias("own2"))
-            pairs = at.join(other, "value").filter("g < g2").filter(size).filter(F.get(F.array_intersect("own", "own2"), F.lit(0)) == F.col("value.value"))
+            own = at.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "value")))["value"].alias("own"))
+            at = stage_table(at.join(own, "id"), "mixed")
+            other = at.select("value", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "c", "g", "pos", "own")])
+            pairs = at.join(other, "value").filter("g < g2").filter(size).filter(F.get(F.array_intersect("own", "own2"), F.lit(0)) == F.col("value"))
         else:
             # first the member with the fewest values of its own, as the text that others were made from has
             order = F.struct((F.col("n") - F.col("c")).alias("o"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id")
