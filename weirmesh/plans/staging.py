@@ -36,12 +36,11 @@ def track(path: str) -> str:
     return path
 
 
-def stage_table(df: DataFrame, name: str, free: bool = True) -> DataFrame:
-    """Writes df once and returns the table that was written; free has Spark first delete the shuffle
-    files of earlier plans that nothing refers to any more."""
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once and returns the table that was written. Spark first deletes the shuffle files of
+    earlier plans that nothing refers to any more."""
     spark = df.sparkSession
-    if free:
-        spark.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     path = new_path(spark, name)
     df.write.parquet(path)
     _written.append(path)
