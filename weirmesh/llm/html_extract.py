@@ -25,8 +25,8 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 #: Elements that end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that hold page furniture, always or where they are a small part of a page.
-FURNITURE = frozenset("nav aside footer button select option menu dialog label textarea fieldset".split())
-PART = frozenset("form header".split())
+FURNITURE = frozenset("nav aside footer button select option menu label textarea".split())
+PART = frozenset("form header fieldset dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text isn't shown, and those of them whose end tag may be missing to the page's end.
 HIDDEN = frozenset("script style title noscript template svg iframe object canvas textarea".split())
@@ -172,7 +172,7 @@ class _Block:
 def _mark(name: str, attributes: list[tuple[str, str]]) -> list[str]:
     """What an element and its class, id and role speak for."""
     words = [w.lower() for k, v in attributes if k in ("class", "id", "role") for w in WORD.findall(v)] if name not in ("html", "body", "article", "main") else []
-    out = ["furniture"] if name in FURNITURE or any(STRONG.fullmatch(w) for w in words) else []
+    out = ["always"] if name in FURNITURE else ["furniture"] if any(STRONG.fullmatch(w) for w in words) else []
     out += ["comments"] if any(COMMENTS.fullmatch(w) for w in words) else []
     return out + (["marked"] if name in PART or any(WEAK.fullmatch(w) for w in words) else [])
 
@@ -272,7 +272,8 @@ def features(found: list[_Block]) -> list[tuple[float, ...]]:
     """A row in the order of FEATURES for each block.
 
     furniture, marked and comments: the smallest share of the page's words that an element so marked
-    around the block holds, 1 where there is none; so what wraps a whole page doesn't count.
+    around the block holds, 1 where there is none; so a name or form that wraps a whole page doesn't
+    count. Elements that are furniture by themselves count as 0.
     """
     total = max(sum(b.words for b in found), 1)
     longest = max((b.words * (1 - b.links) for b in found), default=0.0) or 1.0
@@ -280,7 +281,10 @@ def features(found: list[_Block]) -> list[tuple[float, ...]]:
     for i, b in enumerate(found):
         share = {"furniture": 1.0, "marked": 1.0, "comments": 1.0}
         for m, size in b.around:
-            share[m] = min(share[m], size[0] / total)
+            if m == "always":
+                share["furniture"] = 0.0
+            else:
+                share[m] = min(share[m], size[0] / total)
         before = (float(found[i - 1].words), found[i - 1].links) if i else (0.0, 0.0)
         after = (float(found[i + 1].words), found[i + 1].links) if i + 1 < len(found) else (0.0, 0.0)
         rows.append((float(b.words), b.links, *before, *after, b.kind, share["furniture"], share["marked"], share["comments"], float(b.article), min(b.words / longest, 1.0)))
