@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weirmesh.llm import text as tx
 from weirmesh.operators.components import connected_components
-from weirmesh.plans.staging import stage_table
+from weirmesh.plans.staging import stage_table, unstage
 
 K, K_FINE = 64, 256
 MISS = 1e-9  # bound on the chance that sketches of a linked pair share too little
@@ -123,6 +123,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
 
 
+def _slim(staged: DataFrame, *columns: str) -> DataFrame:
+    """A staged table without columns that nothing reads any more; the wide one's files go."""
+    slim = stage_table(staged.drop(*columns), "slim")
+    unstage(staged)
+    return slim
+
+
 def groups(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fine: int = K_FINE, hub_rounds: int = 3) -> DataFrame:
     """doc_id, h, n_shingles and leader for every row of docs(doc_id, text, ..), linked as in near_duplicates.
 
@@ -135,15 +142,19 @@ def groups(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fin
     # rows of one class have equal sketches, so any of them will do and none is joined back
     own = F.min(F.struct("doc_id", "h")).alias("rep")
     classes = s1.filter("n > 0 and doc_id is not null").groupBy("digest").agg(own, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stage_table(classes.select("digest", "rep.doc_id", "rep.h", F.xxhash64("rep.doc_id", "rep.h").alias("id"), "n", "sketch"), "classes")
-    reps, classes = classes.select(F.col("id").alias("doc_id"), "n", "sketch"), classes.drop("n", "sketch")
-    few = stage_table(classes.join(_lists(reps, t, k).select("id").distinct(), "id").select("id", "doc_id", "h"), "few")
+    sketched = stage_table(classes.select("digest", "rep.doc_id", "rep.h", F.xxhash64("rep.doc_id", "rep.h").alias("id"), "n", "sketch"), "sketched")
+    s1 = _slim(s1, "sketch")
+    reps = sketched.select(F.col("id").alias("doc_id"), "n", "sketch")
+    few = stage_table(sketched.join(_lists(reps, t, k).select("id").distinct(), "id").select("id", "doc_id", "h"), "few")
+    classes = _slim(sketched, "n", "sketch")
     texts = docs.join(few, ["doc_id", "h"]).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text")
     texts = stage_table(texts, "texts")
     # the survivors, mostly apart from shared passages, are told apart by longer sketches
     fine = texts.mapInArrow(_sketches(k_fine, width), "doc_id long, n long, digest binary, sketch array<long>")
     lists = stage_table(_lists(fine.filter("n > 0"), t, k_fine), "lists")
     comp = _links(lists, texts, percent, width, k_fine, hub_rounds)
+    unstage(lists)
+    unstage(texts)
     own = F.struct("doc_id", "h")
     of = classes.select("digest", own.alias("leader"))
     if comp is not None:
@@ -166,7 +177,7 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
     for turn in range(hub_rounds + 1):
         at = lists.withColumn("g", F.col("id")) if comp is None else lists.join(comp, "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
         if turn:
-            at = stage_table(at, "members")
+            at = members = stage_table(at, "members")
         by = at.groupBy("value", "g").agg(F.count("*").alias("m")).groupBy("value").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
         left = by.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not left["pairs"]:
@@ -177,6 +188,8 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
             at = at.join(mixed, "value", "left_semi")
             own = at.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "value")))["value"].alias("own"))
             at = stage_table(at.join(own, "id"), "mixed")
+            if turn:
+                unstage(members)
             other = at.select("value", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "c", "g", "pos", "own")])
             pairs = at.join(other, "value").filter("g < g2").filter(size).filter(F.get(F.array_intersect("own", "own2"), F.lit(0)) == F.col("value"))
         else:
@@ -189,6 +202,8 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage_table(pairs, "pairs")
+        if last or turn:
+            unstage(at)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.isEmpty():
             both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
