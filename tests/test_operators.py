@@ -4,6 +4,7 @@ import http.server
 import json
 import math
 import random
+import re
 import sqlite3
 import struct
 import threading
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from weirmesh.functions import geodesy
 from weirmesh.operators import fusion, manifest, raster, registry
 from weirmesh.operators.components import connected_components
-from weirmesh.operators.proximity import closest_match, neighbour_pairs, snap_to_line
+from weirmesh.operators.proximity import closest_match, near_line, neighbour_pairs, segment_cells, snap_to_line, within_distance
+from weirmesh.operators.raster import excess_area
 from weirmesh.operators.suppression import greedy_suppress
+from weirmesh.plans.tables import SPARSE, place
 from weirmesh.sources import connectors, files
 from weirmesh.sources.connectors import register
 from weirmesh.streaming.incremental import confirm_stream
@@ -386,3 +389,10 @@ def test_empty_tables_are_written(spark, tmp_path):
         write(none, str(tmp_path / name))
         assert read(str(tmp_path / name)).count() == 0
     assert raster.terrain_steps(spark.createDataFrame([], "tile_id int, row int, col int, elev double")).count() == 0
+
+
+def test_places_of_large_keys(spark):
+    keys = [0, 1, 7, 99_999, 323_900, 599_999, 5_999_999, 1_040_000, -323_901, 3_037_000_500]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", *place(F.col("k"), SPARSE)).collect()
+    sign = lambda v, p: v % p if v >= 0 else -(-v % p)
+    assert {r["k"]: (r["x"], r["y"]) for r in got} == {k: (sign(7919 * k**2 + 31 * k, SPARSE[0]), sign(271 * k**3 + 17 * k, SPARSE[1])) for k in keys}

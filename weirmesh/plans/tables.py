@@ -16,8 +16,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def place(k: Column, p: tuple[int, int]) -> list[Column]:
-    k = k.cast("long")
-    return [((k * k * 7919 + k * 31) % p[0]).alias("x"), ((k * k * k * 271 + k * 17) % p[1]).alias("y")]
+    """x = (7919 k^2 + 31 k) % p[0] and y = (271 k^3 + 17 k) % p[1], of remainders, as the cube of a key
+    beyond 320,000 outgrows a long. A negative key's remainder is negative, so the signs stay."""
+    a, b = k.cast("long") % p[0], k.cast("long") % p[1]
+    return [((a * a * 7919 + a * 31) % p[0]).alias("x"), ((b * b % p[1] * b * 271 + b * 17) % p[1]).alias("y")]
 
 
 def registry(spark: SparkSession, sf: str, p: tuple[int, int] = SPARSE) -> DataFrame:
