@@ -396,3 +396,67 @@ def test_places_of_large_keys(spark):
     got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", *place(F.col("k"), SPARSE)).collect()
     sign = lambda v, p: v % p if v >= 0 else -(-v % p)
     assert {r["k"]: (r["x"], r["y"]) for r in got} == {k: (sign(7919 * k**2 + 31 * k, SPARSE[0]), sign(271 * k**3 + 17 * k, SPARSE[1])) for k in keys}
+
+
+def test_repeated_rows_are_not_broadcast(spark):
+    pts = spark.range(50).select("id", (F.col("id") * 7).alias("x"), (F.col("id") * 5).alias("y"))
+    seg = pts.select(F.col("id").alias("line_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 90).alias("x2"), (F.col("y") - 70).alias("y2"))
+    right = pts.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    for df in (within_distance(pts, right, 20), near_line(pts, seg, 20).select("id"), excess_area(pts, seg.withColumn("half_width", F.lit(9)), 9)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [cx#" in plan
+        assert not re.search(r"BroadcastHashJoin \[cx#", plan)
+
+
+def test_segment_cells_hold_all_that_is_near(spark):
+    rng = random.Random(5)
+    segs = [(i, *[rng.randint(-300, 300) for _ in range(4)]) for i in range(60)] + [(60, 5, -200, 5, 200), (61, -200, 5, 200, 5), (62, 9, 9, 9, 9)]
+    cells = {}
+    for r in segment_cells(spark.createDataFrame(segs, "line_id long, x1 long, y1 long, x2 long, y2 long"), 20, 30).select("line_id", "cx", "cy").collect():
+        cells.setdefault(r["line_id"], set()).add((r["cx"], r["cy"]))
+    for i, x1, y1, x2, y2 in segs:
+        n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        for x, y in [(x, y) for x in range(-330, 331, 7) for y in range(-330, 331, 7)]:
+            t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / n)) if n else 0.0
+            if (x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2 <= 900:
+                assert (x // 20, y // 20) in cells[i]
+
+
+def _crowd(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(-200, 200) if i % 2 else float(rng.randint(-200, 200)), float(rng.randint(-200, 200)), rng.randint(0, 9)) for i in range(400)]
+    rows += [(400 + i, 7.0, 7.0, 5) for i in range(40)] + [(440, 1000.0, 0.0, 1), (441, 1020.0, 0.0, 1), (442, 1040.001, 0.0, 1), (443, None, 0.0, 1)]
+    return rows, spark.createDataFrame(rows, "id long, x double, y double, v int")
+
+
+def test_suppression_in_a_crowd(spark):
+    rows, df = _crowd(spark)
+    kept = []
+    for i, x, y, v in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if x is None or all(b is None or (x - b) ** 2 + (y - c) ** 2 >= 400 for _, b, c in kept):
+            kept.append((i, x, y))
+    assert sorted(r["id"] for r in greedy_suppress(df, [-F.col("v"), F.col("id")], 20).collect()) == sorted(k[0] for k in kept)
+
+
+def test_clusters_in_a_crowd_and_without_all_pairs(spark, monkeypatch):
+    rows, df = _crowd(spark)
+    up = {r[0]: r[0] for r in rows}
+    extra = (440, -190.0, -190.0, 0)  # an id at two places links both
+    every = [r for r in [*rows, extra] if r[1] is not None]
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for p in every:
+        for q in every:
+            if (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= 400:
+                a, b = sorted((root(p[0]), root(q[0])))
+                up[b] = a
+    edges = []
+    monkeypatch.setattr(fusion, "connected_components", lambda e: edges.append(e.count()) or connected_components(e))
+    got = {(r["id"], r["cluster"]) for r in fusion.cluster(df.unionByName(spark.createDataFrame([extra], df.schema)), 20).collect()}
+    assert got == {(i, root(i)) for i in up}
+    pairs = sum((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= 400 for p in every for q in every if p[0] < q[0])
+    assert 0 < edges[0] < pairs / 2

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from weirmesh.constants import CONFIRMED_CONFIDENCE, FUSION_RADIUS, MATCH_TOLERANCE, OUTPUT_COLUMNS
 from weirmesh.functions.geodesy import ring_centroid
 from weirmesh.operators.components import connected_components
-from weirmesh.operators.proximity import closest_match, neighbour_pairs, snap_to_line
+from weirmesh.operators.proximity import closest_match, near_packed_cells, packed_side, snap_to_line, square_distance, with_cells
+from weirmesh.plans.staging import stage_table
 from weirmesh.sources.files import write_csv
 
 #: layer name -> function from that layer's raw table and the river network (x1, y1, x2, y2, line_id)
@@ -52,8 +53,21 @@ def load_candidates(raw: dict[str, DataFrame], network: DataFrame | None = None)
 
 
 def cluster(points: DataFrame, radius: int = FUSION_RADIUS) -> DataFrame:
-    """points(id, x, y, ..) with cluster, the smallest id linked by steps of at most radius."""
-    found = connected_components(neighbour_pairs(points, radius)).withColumnRenamed("component", "c")
+    """points(id, x, y, ..) with cluster, the smallest id linked by steps of at most radius.
+
+    The points of a small cell are all linked, so only cells, by their smallest id, are compared
+    and joined, not all pairs of points, which grow with the square of the density.
+    """
+    at = with_cells(points.filter("x is not null and y is not null").select("id", "x", "y"), packed_side(radius))
+    at = stage_table(at.join(at.groupBy("cx", "cy").agg(F.min("id").alias("rep")), ["cx", "cy"]), "placed")
+    spot = at.select("rep", "cx", "cy", "x", "y").distinct()
+    right = spot.select("cx", "cy", F.col("rep").alias("b"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    near = near_packed_cells(spot, radius, half=True).join(right.hint("merge"), ["cx", "cy"])
+    links = near.filter(square_distance("x", "y", "rx", "ry") <= radius * radius).select(F.col("rep").alias("a"), "b").distinct()
+    twice = at.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("_last")).filter("b < _last").drop("_last")  # an id at several places
+    links = links.unionByName(at.join(twice, "id").select(F.col("rep").alias("a"), "b"))
+    found = connected_components(links).withColumnRenamed("id", "rep")
+    found = at.join(found, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("c"))
     return points.join(found, "id", "left").withColumn("cluster", F.coalesce("c", "id")).drop("c")
 
 

@@ -31,15 +31,38 @@ def within_distance(left: DataFrame, right: DataFrame, radius: int, strict: bool
     """Pairs of left(id, x, y) and right(rid, rx, ry) at most (strict: less than) radius apart.
 
     Adds d2, the squared distance. Both sides are dealt by cell; the left, taken as the smaller,
-    is repeated nine times. Rows with null coordinates pair with nothing.
+    is repeated nine times. Spark doesn't count repeated rows where it sizes a side, so joins with them
+    never broadcast. Rows with null coordinates pair with nothing.
     """
     a = with_cells(left.filter("x is not null and y is not null"), radius, reach=1)
     b = with_cells(right.filter("rx is not null and ry is not null"), radius, "rx", "ry")
     d2 = square_distance("x", "y", "rx", "ry")
-    pairs = a.join(b, ["cx", "cy"]).withColumn("d2", d2)
+    pairs = a.join(b.hint("merge"), ["cx", "cy"]).withColumn("d2", d2)
     return pairs.filter(F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius).drop("cx", "cy")
 
 
+def packed_side(radius: float) -> float:
+    """Side of cells in which any two places are less than radius apart."""
+    return radius * 0.7071
+
+
+def near_packed_cells(df: DataFrame, radius: float, half: bool = False) -> DataFrame:
+    """A row of df(x, y, cx, cy, ..), cells of packed_side, for every other cell that holds places within
+    radius of x, y, as cx, cy; with half only for the cells that follow its own."""
+    n, side = range(-2, 3), packed_side(radius)
+    steps = [(a, b) for a in n for b in n if ((a, b) > (0, 0) if half else (a, b) != (0, 0))]
+    to = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
+    out = df.select("*", to.alias("_to"))
+
+    def gap(c: str, at: str, step: str) -> Column:
+        low = (F.col(at) + F.col(step)) * side
+        return F.greatest(F.lit(0.0), low - F.col(c), F.col(c) - low - side)
+
+    gx, gy = gap("x", "cx", "_to.a"), gap("y", "cy", "_to.b")
+    out = out.filter(gx * gx + gy * gy <= radius * radius * 1.000001)  # a little against rounding
+    return out.withColumns({"cx": F.col("cx") + F.col("_to.a"), "cy": F.col("cy") + F.col("_to.b")}).drop("_to")
+
+
 def neighbour_pairs(points: DataFrame, radius: int, strict: bool = False) -> DataFrame:
     """Undirected pairs (a, b, d2) with a < b of points(id, x, y)."""
     right = points.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
@@ -81,18 +104,27 @@ def segment_t(px: str, py: str) -> Column:
 
 
 def segment_cells(segments: DataFrame, size: int, reach: int) -> DataFrame:
-    """A row of each segment for every cell that its box, widened by reach metres, touches."""
-    span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - reach, size), cell(F.greatest(a, b) + reach, size)))
-    out = segments.select("*", span(F.col("x1"), F.col("x2")).alias("cx"))
-    return out.select("*", span(F.col("y1"), F.col("y2")).alias("cy"))
+    """A row of each segment for every cell that holds places within reach metres of it, and few more:
+    in each column of cells those beside the part of the segment that comes near the column."""
+    x1, y1, dx, dy = F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    span = lambda a, b, more: F.explode(F.sequence(cell(F.least(a, b) - more, size), cell(F.greatest(a, b) + more, size)))
+    out = segments.select("*", span(x1, F.col("x2"), reach).alias("cx"))
+    t = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - x1) / F.nullif(dx, F.lit(0))))
+    a, b = t(F.col("cx") * size - reach - 1), t((F.col("cx") + 1) * size + reach + 1)  # a metre against rounding
+    a, b = F.when(dx == 0, F.lit(0.0)).otherwise(a), F.when(dx == 0, F.lit(1.0)).otherwise(b)
+    return out.select("*", span(y1 + a * dy, y1 + b * dy, reach + 1).alias("cy"))
+
+
+def near_line_ids(points: DataFrame, segments: DataFrame, radius: int) -> DataFrame:
+    """The distinct ids of points(id, x, y) within radius of some segment."""
+    a = with_cells(points.select("id", "x", "y"), radius)
+    b = segment_cells(segments.select("x1", "y1", "x2", "y2"), radius, radius)
+    return a.join(b.hint("merge"), ["cx", "cy"]).filter(segment_d2("x", "y") <= radius * radius).select("id").distinct()
 
 
 def near_line(points: DataFrame, segments: DataFrame, radius: int) -> DataFrame:
     """Left semi join: the points within radius of some segment."""
-    a = with_cells(points, radius)
-    b = segment_cells(segments, radius, radius)
-    hit = a.join(b, ["cx", "cy"]).filter(segment_d2("x", "y") <= radius * radius).select("id").distinct()
-    return points.join(hit, "id", "left_semi")
+    return points.join(near_line_ids(points, segments, radius), "id", "left_semi")
 
 
 def snap_to_line(points: DataFrame, segments: DataFrame, cell_size: int = 500) -> DataFrame:
@@ -108,7 +140,7 @@ def snap_to_line(points: DataFrame, segments: DataFrame, cell_size: int = 500) -
     extent, radius, left, done = 4 * int(spread) + cell_size, cell_size, points, None
     while True:
         b = segment_cells(segments, radius, radius)
-        hit = with_cells(left, radius).join(b, ["cx", "cy"]).withColumn("d2", segment_d2("x", "y"))
+        hit = with_cells(left, radius).join(b.hint("merge"), ["cx", "cy"]).withColumn("d2", segment_d2("x", "y"))
         best = hit.filter(F.col("d2") <= float(radius) ** 2).groupBy("id").agg(
             F.min(F.struct(F.round("d2", 6).alias("d2"), "line_id", (F.col("x1") + segment_t("x", "y") * (F.col("x2") - F.col("x1"))).alias("sx"),
                            (F.col("y1") + segment_t("x", "y") * (F.col("y2") - F.col("y1"))).alias("sy"))).alias("m"))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from weirmesh.constants import BOX_LEAST_AREA, BOX_MOST_OF_FRAME, BOX_REACH, DEFAULT_HALF_WIDTH, EXCESS_AREA, EXCESS_FRACTION, HALF_WIDTH_BY_STRAHLER, RIVER_TOLERANCE, STEP_ACCUM, STEP_DOWN, STEP_RATIO, STEP_UP, STEP_WINDOW, WATER_HSV
 from weirmesh.operators.components import connected_components
-from weirmesh.operators.proximity import near_line, segment_d2
+from weirmesh.operators.proximity import near_line_ids, segment_cells, segment_d2, with_cells
 
 #: Fixed value: the eight neighbours, in the order that settles ties of the steepest descent.
 D8_OFFSETS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -103,11 +103,8 @@ def excess_area(subcells: DataFrame, segments: DataFrame, reach: int, sub: int =
     (m2) and touches for every id; keep those with touches, excess > 400 and excess > 0.3 total.
     """
     size = max(reach, 1)
-    line = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("half_width")
-    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - reach) / size), F.floor((F.greatest(a, b) + reach) / size)))
-    seg = segments.select(*line, span(line[0], line[2]).alias("cx")).select("*", span(line[1], line[3]).alias("cy"))
-    pts = subcells.select("id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    channel = pts.join(seg, ["cx", "cy"]).filter(segment_d2("x", "y") <= F.col("half_width") * F.col("half_width")).select("id", "x", "y").distinct().groupBy("id").agg(F.count("*").alias("c"))
+    seg = segment_cells(segments.select("x1", "y1", "x2", "y2", "half_width"), size, reach)
+    channel = with_cells(subcells.select("id", "x", "y"), size).join(seg.hint("merge"), ["cx", "cy"]).filter(segment_d2("x", "y") <= F.col("half_width") * F.col("half_width")).select("id", "x", "y").distinct().groupBy("id").agg(F.count("*").alias("c"))
     total = subcells.groupBy("id").agg(F.count("*").alias("n"))
     return total.join(channel, "id", "left").select(
         "id", (F.col("n") * sub * sub).alias("total"), ((F.col("n") - F.coalesce("c", F.lit(0))) * sub * sub).alias("excess"), F.col("c").isNotNull().alias("touches"))
@@ -128,7 +125,7 @@ def anomalous_widening(subcells: DataFrame, segments: DataFrame, tolerance: int
     keep: some subcell lies within tolerance of a segment (of any width), some lies in a channel, and
     what lies outside every channel is more than EXCESS_AREA m2 and EXCESS_FRACTION of the whole.
     """
-    near = subcells.join(near_line(subcells, segments, tolerance).select("id").distinct(), "id", "left_semi").select("id").distinct()
+    near = near_line_ids(subcells, segments, tolerance)
     reach = segments.agg(F.coalesce(F.ceil(F.max("half_width")), F.lit(1))).first()[0]  # one number
     e = excess_area(subcells, segments, int(reach), sub).join(near.withColumn("near", F.lit(True)), "id", "left")
     keep = F.col("near").isNotNull() & F.col("touches") & (F.col("excess") > EXCESS_AREA) & (F.col("excess") > EXCESS_FRACTION * F.col("total"))
