@@ -31,6 +31,7 @@ def far(spark, sf, tmp_path_factory):
 
 NAMES = [
     "precision_recall",
+    "resume_limit",
 ]
 
 
