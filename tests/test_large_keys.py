@@ -32,6 +32,7 @@ def far(spark, sf, tmp_path_factory):
 NAMES = [
     "precision_recall",
     "resume_limit",
+    "resume_anti_join",
 ]
 
 
