@@ -33,6 +33,7 @@ NAMES = [
     "precision_recall",
     "resume_limit",
     "resume_anti_join",
+    "resume_terminal",
 ]
 
 
