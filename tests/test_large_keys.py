@@ -34,6 +34,7 @@ NAMES = [
     "resume_limit",
     "resume_anti_join",
     "resume_terminal",
+    "removed_barriers",
 ]
 
 
