@@ -35,6 +35,7 @@ NAMES = [
     "resume_anti_join",
     "resume_terminal",
     "removed_barriers",
+    "snap_to_river",
 ]
 
 
