@@ -36,6 +36,7 @@ NAMES = [
     "resume_terminal",
     "removed_barriers",
     "snap_to_river",
+    "river_touch_semi",
 ]
 
 
