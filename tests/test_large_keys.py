@@ -37,6 +37,7 @@ NAMES = [
     "removed_barriers",
     "snap_to_river",
     "river_touch_semi",
+    "water_signature_points",
 ]
 
 
