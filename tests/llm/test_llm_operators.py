@@ -209,6 +209,37 @@ def test_a_link_that_its_union_sketch_underrates(spark):
         assert sum(math.comb(k, i) * 0.85**i * 0.15 ** (k - i) for i in range(o)) < near_dedup.MISS
 
 
+def test_sketch_bounds_of_sets_that_nearly_fit(spark):
+    def tail(u, good, k, o):
+        return sum(math.comb(good, j) * math.comb(u - good, k - j) for j in range(o) if k - j <= u - good) / math.comb(u, k)
+
+    k, steps = near_dedup.K, near_dedup.overlap_steps(near_dedup.K, 0.85)
+    for n in [*range(55, 140), 400, 600, 868]:
+        o = next(o for limit, o in steps if n <= limit)
+        unions = range(max(k + 1, n), 100 * n // 85 + 1)
+        assert all(tail(u, -(-85 * u // 100), k, o) < near_dedup.MISS for u in unions) and o >= near_dedup.least_overlap(k, 0.85)
+    # a fifth of either text is its own: no such set has a link, so none is listed or verified
+    r = random.Random(6)
+    base = [f"t{i}" for i in range(400)]
+    texts = [" ".join(f"n{i}-{j}" if j % 20 == i else w for j, w in enumerate(base)) for i in range(12)]
+    rows = [(i, np.unique(tx.shingles(tx.Words(pa.array([t])).text(0), 5))) for i, t in enumerate(texts)]
+    sketches = [(i, len(s), s[: near_dedup.K_LONG].view(np.int64).tolist()) for i, s in r.sample(rows, len(rows))]
+    df = spark.createDataFrame(sketches, "doc_id long, n long, sketch array<long>")
+    assert near_dedup._lists(df, 0.85, near_dedup.K_LONG).count() == 0
+    near = spark.createDataFrame([(0, texts[0]), (1, texts[1]), (2, texts[0].replace("t7 ", "x "))], "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(near).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_rows_by_a_bitmap_of_their_ids(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("k"), "id", F.lit("t").alias("text"))
+    ids = rows.filter("id % 40 = 0").select(F.col("k").alias("id"))
+    got = near_dedup._likely(rows, F.col("k"), ids.unionByName(ids), 500)
+    assert got.columns == rows.columns
+    got = {r.id for r in got.collect()}
+    assert got >= set(range(0, 20000, 40)) and len(got) < 500 + 20000 / 16
+    assert near_dedup._likely(rows, F.col("k"), ids.limit(0), 0).count() == 0
+
+
 def test_near_duplicates_on_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark, [(9, "a b c", "en", "a"), (8, "A B C", "en", "a"), (7, "a b", "en", "a")])).collect()
     by = {}

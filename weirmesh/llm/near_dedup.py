@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirmesh.llm import text as tx
@@ -25,6 +25,7 @@ from weirmesh.operators.components import connected_components
 from weirmesh.plans.staging import stage_table, unstage
 
 K, K_FINE = 64, 256
+K_LONG = 2 * K_FINE  # of the documents left: sets of up to 435 values are compared exactly
 MISS = 1e-9  # bound on the chance that sketches of a linked pair share too little
 
 
@@ -39,6 +40,36 @@ def least_overlap(k: int, threshold: float, miss: float = MISS) -> int:
     return k
 
 
+def overlap_steps(k: int, threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
+    """Rising (n, o): a linked pair shares fewer than o retained values with probability < miss if one
+    of its sets holds at most n values. Larger sets: least_overlap.
+
+    The k smallest of a union of u values are a draw without replacement, so the number of them that are
+    common is hypergeometric, narrower than binomial unless u is large; u is at most n / threshold.
+    """
+    u = np.arange(k + 1, 16 * k)
+    good = np.ceil(u * threshold - 1e-9).astype(np.int64)
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 16 * k)))])
+    choose = lambda a, b: fact[a] - fact[b] - fact[a - b]
+    total, o, at = np.zeros(len(u)), np.full(len(u), k), np.ones(len(u), bool)
+    for j in range(k + 1):  # the probability of at most j common ones
+        can = (k - j <= u - good) & at
+        total[can] += np.exp(choose(good[can], j) + choose((u - good)[can], k - j) - choose(u[can], k))
+        over = at & (total >= miss)
+        o[over], at = j, at & ~over
+    o = np.minimum.accumulate(o)  # of all unions up to u
+    last = np.flatnonzero(np.diff(o, append=-1))
+    return [(int(math.floor((u[i] + 1) * threshold - 1e-9)), int(o[i])) for i in last]
+
+
+def _overlap(n: Column, k: int, t: float) -> Column:
+    """The least number of retained values that a set of n values, not all retained, shares with a linked one."""
+    step = None
+    for limit, o in overlap_steps(k, t):
+        step = F.when(n <= limit, o) if step is None else step.when(n <= limit, o)
+    return F.lit(least_overlap(k, t)) if step is None else step.otherwise(least_overlap(k, t))
+
+
 def _sketches(k: int, width: int):
     """The columns beside text, how many shingles there are, a digest of them all and the k smallest."""
 
@@ -77,7 +108,7 @@ def _verify(width: int, percent: int, k: int):
                 if last_a != left[i]:
                     last_a, sa = left[i], tx.shingles(tx.Words(b.column("ta").slice(i, 1)).text(0), width)
                 sb = tx.shingles(w.text(i), width)
-                if not len(sa) or not len(sb) or jaccard_estimate(sa, sb, k) < floor:
+                if not len(sa) or not len(sb) or (len(sa) + len(sb) > 8 * k and jaccard_estimate(sa, sb, k) < floor):
                     continue
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 if 100 * both >= percent * (len(sa) + len(sb) - both):
@@ -96,19 +127,21 @@ def _lists(sketches: DataFrame, t: float, k: int) -> DataFrame:
     document's, rare ones first, in an order that all documents share. Where neither it nor a
     partner can outgrow a sketch, c counts all shingles that some other document has; it bounds every overlap.
     """
-    entries = sketches.select(F.col("doc_id").alias("id"), "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    entries = sketches.select(F.col("doc_id").alias("id"), "n", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     exact = F.col("n") <= F.lit(math.floor(k * t))
-    o = F.when(exact, F.ceil(F.col("s") * t)).otherwise(F.least(F.lit(least_overlap(k, t)), F.ceil(F.col("s") * t)))
-    own = entries.join(shared, "value").groupBy("id", "n", "s").agg(F.collect_set(F.struct("df", "value")).alias("l"))
-    alone = F.col("s") - F.size("l")
+    s = F.least("n", F.lit(k))
+    o = F.when(exact, F.ceil(s * t)).otherwise(F.least(_overlap(F.col("n"), k, t), F.ceil(s * t)))
+    # shared values grow with the input; a plan that broadcasts them fills the driver first
+    own = entries.join(shared.hint("merge"), "value").groupBy("id", "n").agg(F.collect_set(F.struct("df", "value")).alias("l"))
+    alone = s - F.size("l")
     c = F.when(exact, F.size("l")).otherwise(F.col("n")).cast("long")
-    rare = own.withColumns({"alone": alone, "m": (F.col("s") - o + 1 - alone).cast("int"), "c": c}).filter("m > 0")
+    rare = own.withColumns({"alone": alone, "m": (s - o + 1 - alone).cast("int"), "c": c}).filter("m > 0")
     rare = rare.select("id", "n", "c", "alone", F.posexplode(F.slice(F.array_sort("l"), F.lit(1), F.col("m"))).alias("i", "value"))
     return rare.select("id", "n", "c", F.col("value.value").alias("value"), (F.col("alone") + F.col("i") + 1).alias("pos"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fine: int = K_FINE, hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fine: int = K_LONG, hub_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text, ..).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of
@@ -123,6 +156,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
 
 
+def _likely(rows: DataFrame, key: Column, ids: DataFrame, n: int) -> DataFrame:
+    """The rows whose key, a hash, is among n ids(id), and at most a sixteenth of the others.
+
+    For what an exact join follows, so that it need not deal out all texts. One bit for each id in pages of
+    4 kB, 8 MB of them at most; beyond 4 million ids more of the others stay.
+    """
+    size = 1 << min(26, max(15, (16 * n - 1).bit_length()))
+    page, bit = (lambda c: F.shiftright(F.pmod(c, F.lit(size)), 15)), (lambda c: F.pmod(c, F.lit(1 << 15)))
+    pages = ids.groupBy(page(F.col("id")).alias("_page")).agg(F.bitmap_construct_agg(bit(F.col("id"))).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit(key), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.call_function("getbit", byte, F.pmod(key, F.lit(8)).cast("int")) == 1
+    return rows.join(F.broadcast(pages), page(key) == F.col("_page")).filter(marked).select(*rows.columns)
+
+
 def _slim(staged: DataFrame, *columns: str) -> DataFrame:
     """A staged table without columns that nothing reads any more; the wide one's files go."""
     slim = stage_table(staged.drop(*columns), "slim")
@@ -130,7 +177,7 @@ def _slim(staged: DataFrame, *columns: str) -> DataFrame:
     return slim
 
 
-def groups(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fine: int = K_FINE, hub_rounds: int = 3) -> DataFrame:
+def groups(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fine: int = K_LONG, hub_rounds: int = 3) -> DataFrame:
     """doc_id, h, n_shingles and leader for every row of docs(doc_id, text, ..), linked as in near_duplicates.
 
     h is a hash of the text, so that (doc_id, h) tells texts with one doc_id apart. leader is the
@@ -147,7 +194,8 @@ def groups(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, k_fin
     reps = sketched.select(F.col("id").alias("doc_id"), "n", "sketch")
     few = stage_table(sketched.join(_lists(reps, t, k).select("id").distinct(), "id").select("id", "doc_id", "h"), "few")
     classes = _slim(sketched, "n", "sketch")
-    texts = docs.join(few, ["doc_id", "h"]).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text")
+    wanted = _likely(docs, F.xxhash64("doc_id", "h"), few.select("id"), few.count())
+    texts = wanted.join(few, ["doc_id", "h"]).dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "text")
     texts = stage_table(texts, "texts")
     # the survivors, mostly apart from shared passages, are told apart by longer sketches
     fine = texts.mapInArrow(_sketches(k_fine, width), "doc_id long, n long, digest binary, sketch array<long>")
@@ -191,7 +239,7 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
             if turn:
                 unstage(members)
             other = at.select("value", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "c", "g", "pos", "own")])
-            pairs = at.join(other, "value").filter("g < g2").filter(size).filter(F.get(F.array_intersect("own", "own2"), F.lit(0)) == F.col("value"))
+            pairs = at.join(other.hint("merge"), "value").filter("g < g2").filter(size).filter(F.get(F.array_intersect("own", "own2"), F.lit(0)) == F.col("value"))
         else:
             # first the member with the fewest values of its own, as the text that others were made from has
             order = F.struct((F.col("n") - F.col("c")).alias("o"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id")
@@ -205,9 +253,12 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, width: int, k: int,
         if last or turn:
             unstage(at)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.isEmpty():
-            both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        n = pairs.count()
+        if n:
+            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+            named = _likely(texts, F.col("doc_id"), ids, 2 * n)
+            both = pairs.join(named.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+            both = both.join(named.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
             found = stage_table(both.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent, k), "a long, b long"), "links")
             edges = found if edges is None else edges.unionByName(found)
             comp = connected_components(edges)
