@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirmesh.functions import geodesy
-from weirmesh.operators import fusion, manifest, raster, registry
+from weirmesh.operators import components, fusion, manifest, raster, registry
 from weirmesh.operators.components import connected_components
 from weirmesh.operators.proximity import closest_match, near_line, neighbour_pairs, segment_cells, snap_to_line, within_distance
 from weirmesh.operators.raster import excess_area
@@ -74,6 +74,20 @@ def test_components_equal_union_find(spark):
     assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """Each round's plans stay with the driver, whose memory the pipeline outgrew."""
+    edges = spark.range(300).selectExpr("id * 5 % 301 as a", "(id + 1) * 5 % 301 as b")
+    staged, got, stage = [], [], components.stage_table
+    monkeypatch.setattr(components, "stage_table", lambda df, name: staged.append(name) or stage(df, name))
+    for limit in (components.LOCAL_EDGES, 300, 299, 0):
+        monkeypatch.setattr(components, "LOCAL_EDGES", limit)
+        got.append((sorted(map(tuple, connected_components(edges).collect())), len(staged)))
+        staged.clear()
+    assert all(rows == [(i, 0) for i in range(301)] for rows, _ in got)
+    assert got[0][1] == got[1][1] == 2 < got[2][1]
+    assert connected_components(edges.limit(0)).collect() == []
+
+
 def test_closest_match(spark):
     left = spark.createDataFrame([(0, 0, 0), (1, 100, 0), (2, None, 0)], "id long, x long, y long")
     right = spark.createDataFrame([("B", "b", 10, 0), ("A", "a", 20, 0), ("A", "c", 131, 0), ("A", "d", -10, 0)], "source string, source_id string, x long, y long")
