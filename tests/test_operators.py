@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirmesh.functions import geodesy
-from weirmesh.operators import components, fusion, manifest, raster, registry
+from weirmesh.operators import components, fusion, manifest, proximity, raster, registry
 from weirmesh.operators.components import connected_components
 from weirmesh.operators.proximity import closest_match, near_line, neighbour_pairs, segment_cells, snap_to_line, within_distance
 from weirmesh.operators.raster import excess_area
@@ -241,6 +241,32 @@ def test_snapping_has_no_radius(spark):
     assert snap_to_line(pts, lines.limit(0)).count() == 0
 
 
+def test_snapping_among_crowded_lines_starts_narrow(spark, monkeypatch):
+    rng, sizes, cells = random.Random(5), [], proximity.segment_cells
+    lines = [(i, *(rng.randrange(2000) for _ in range(2))) for i in range(700)]
+    lines = [(i, x, y, x + rng.randrange(-90, 90), y + rng.randrange(-90, 90)) for i, x, y in lines]
+    pts = [(i, rng.randrange(2000), rng.randrange(2000)) for i in range(9000)] + [(9000, 3000, -1000)]
+    monkeypatch.setattr(proximity, "segment_cells", lambda s, size, reach: sizes.append(size) or cells(s, size, reach))
+    ends = "line_id long, x1 long, y1 long, x2 long, y2 long"
+    got = snap_to_line(spark.createDataFrame(pts, "id long, x long, y long"), spark.createDataFrame(lines, ends)).collect()
+    n, x1, y1, x2, y2 = np.array(lines, float).T
+    want = {}
+    for i, x, y in pts:
+        t = np.clip(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / np.maximum((x2 - x1) ** 2 + (y2 - y1) ** 2, 1), 0, 1)
+        d2 = np.round((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2, 6)
+        k = int(d2.argmin())
+        want[i] = (int(n[k]), round(x1[k] + t[k] * (x2[k] - x1[k]), 3), round(y1[k] + t[k] * (y2[k] - y1[k]), 3))
+    assert {r["id"]: (r["line_id"], round(r["snap_x"], 3), round(r["snap_y"], 3)) for r in got} == want
+    assert sizes[0] < 500 and sizes[1:] == [4 * a for a in sizes[:-1]]
+
+
+def test_snapping_sees_ties_across_a_ring(spark):
+    """Both lines are as near as the ring is wide, after rounding; the smaller id wins, though it is a hair farther."""
+    lines = spark.createDataFrame([(9, -50.0, 8.0, 50.0, 8.0), (3, 8.00000001, -50.0, 8.00000001, 50.0)], "line_id long, x1 double, y1 double, x2 double, y2 double")
+    got = snap_to_line(spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double"), lines, cell_size=8).collect()
+    assert [r["line_id"] for r in got] == [3]
+
+
 class Pages(http.server.BaseHTTPRequestHandler):
     """Three layers of 25, 250 and 0 features; the first call of each page of layer b fails, and its
     pages are shorter than asked for."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from weirmesh.plans.staging import stage_table
@@ -127,22 +127,37 @@ def near_line(points: DataFrame, segments: DataFrame, radius: int) -> DataFrame:
     return points.join(near_line_ids(points, segments, radius), "id", "left_semi")
 
 
+def first_radius(e: Row, cell_size: int) -> int:
+    """cell_size, or a quarter of it time and again as long as a place of the map still has three segments or more
+    within that radius on average, and segments cut into such cells aren't more rows than there are points."""
+    total, area, radius = float(e["total"] or 0), max(float(e["w"] or 0), 1.0) * max(float(e["h"] or 0), 1.0), cell_size
+    while (r := radius // 4) >= 1 and (2 * r * total + 3.14 * r * r * e["n"]) >= 3 * area and 9 * e["n"] + 4 * total / r <= (e["points"] or 0):
+        radius = r
+    return radius
+
+
 def snap_to_line(points: DataFrame, segments: DataFrame, cell_size: int = 500) -> DataFrame:
     """Each point's nearest position on any segment, without a radius; points without x or y go.
 
     Rings of cells widen fourfold until every point is settled: a hit within the ring's radius
     is final. What the last ring, as wide as the whole extent, finds is final too. Each ring's finds
-    are written, so that a wider one doesn't search the narrower ones again.
+    are written, so that a wider one doesn't search the narrower ones again. Where segments crowd the first
+    ring is narrower than cell_size, as the pairs in a cell grow with points times segments.
+    Distances are rounded before they are held against the radius, so ties on its border are seen whole.
     """
     points = points.filter("x is not null and y is not null")
-    spread = points.select("x", "y").unionByName(segments.select(F.col("x1").alias("x"), F.col("y1").alias("y"))).agg(
-        F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 0
-    extent, radius, left, done = 4 * int(spread) + cell_size, cell_size, points, None
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("length")
+    ends = points.select("x", "y", F.lit(None).cast("double").alias("length"), F.lit(1).alias("point")).unionByName(
+        segments.select(F.col("x1").alias("x"), F.col("y1").alias("y"), length, F.lit(0).alias("point")))
+    spread = ends.agg(
+        F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"),
+        F.count("length").alias("n"), F.sum("length").alias("total"), F.sum("point").alias("points")).first()
+    extent, radius, left, done = 4 * int(spread["m"] or 0) + cell_size, first_radius(spread, cell_size), points, None
     while True:
-        b = segment_cells(segments, radius, radius)
-        hit = with_cells(left, radius).join(b.hint("merge"), ["cx", "cy"]).withColumn("d2", segment_d2("x", "y"))
+        b = segment_cells(segments, radius, radius + 1)
+        hit = with_cells(left, radius).join(b.hint("merge"), ["cx", "cy"]).withColumn("d2", F.round(segment_d2("x", "y"), 6))
         best = hit.filter(F.col("d2") <= float(radius) ** 2).groupBy("id").agg(
-            F.min(F.struct(F.round("d2", 6).alias("d2"), "line_id", (F.col("x1") + segment_t("x", "y") * (F.col("x2") - F.col("x1"))).alias("sx"),
+            F.min(F.struct("d2", "line_id", (F.col("x1") + segment_t("x", "y") * (F.col("x2") - F.col("x1"))).alias("sx"),
                            (F.col("y1") + segment_t("x", "y") * (F.col("y2") - F.col("y1"))).alias("sy"))).alias("m"))
         found = left.join(best, "id").select("id", "x", "y", F.col("m.line_id").alias("line_id"), F.col("m.sx").alias("snap_x"), F.col("m.sy").alias("snap_y"))
         found = stage_table(found, "snapped")
